@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Documents below this score are of low quality.
+QUALITY_BOUND = 0.3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +26,37 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents outside the held-out fold."""
+    from .langid import fit, predict
+    from .shared import remainder_of_id
+
+    documents = table(spark, sf_dir, "documents")
+    fold = remainder_of_id("doc_id", 3)
+    model = fit(documents.where(fold != 1), F.col("doc_id"))
+    held_out = F.coalesce(fold == 1, F.lit(True))
+    return predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    """Learnt from the labels outside the held-out fold."""
+    from .quality import fit
+    from .shared import remainder_of_id
+
+    labels = table(spark, sf_dir, "labels").where(remainder_of_id("doc_id", 5) != 0)
+    return fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from .quality import score
+    from .shared import remainder_of_id
+
+    held_out = F.coalesce(remainder_of_id("doc_id", 5) == 0, F.lit(True))
+    scored = score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= QUALITY_BOUND).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
