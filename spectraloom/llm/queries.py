@@ -57,6 +57,24 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= QUALITY_BOUND).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document through a cache that starts empty."""
+    from .shared import fresh_path
+    from .tokencounts import count_tokens
+
+    counted = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), fresh_path(spark, "token-cache"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from byte ranges."""
+    from .shared import fresh_path
+    from .warc import page_ids, read_archives, write_archives
+
+    archives = write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"), least_bytes=0)
+    return page_ids(read_archives(archives, with_payload=False))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op8_token_counts, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
