@@ -75,6 +75,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ids(read_archives(archives, with_payload=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op8_token_counts, op10_warc)}
+def op7_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    from .lattice import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at three differing bits."""
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
