@@ -75,6 +75,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ids(read_archives(archives, with_payload=False))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that have an earlier near copy."""
+    from .linededup import drop_near_copies
+
+    return drop_near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     from .lattice import near_duplicates
@@ -90,6 +97,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op6_line_dedup, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
