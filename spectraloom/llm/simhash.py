@@ -80,13 +80,14 @@ def _linked(fps: np.ndarray, homes: np.ndarray, most: int) -> np.ndarray:
     """For each member of one group the first member of its component, by links from members at home to all."""
     near = np.bitwise_count(fps[homes][:, None] ^ fps[None, :]) <= most
     labels = np.arange(len(fps))
-    while True:
+    while len(near):
         least = np.where(near, labels[None, :], len(fps)).min(axis=1)
         reach = np.where(near, least[:, None], len(fps)).min(axis=0)
         reach = np.minimum(reach, labels)
         if (reach == labels).all():
-            return labels
+            break
         labels = reach
+    return labels
 
 
 def _compare(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
