@@ -75,6 +75,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ids(read_archives(archives, with_payload=False))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from .personal import KINDS, find_personal_data, written
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("seeds", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("seeds")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that have an earlier near copy."""
     from .linededup import drop_near_copies
@@ -97,6 +107,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op6_line_dedup, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op5_pii, op6_line_dedup, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
