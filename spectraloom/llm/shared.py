@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -36,10 +37,21 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing.
+
+    The shuffle files of the write, which nothing needs once the table is there, are removed at its end.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, tag), spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clean_up() -> None:

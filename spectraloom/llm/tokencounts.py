@@ -84,6 +84,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, text_col:
 
     distinct = keyed.groupBy("digest").agg(F.first("content").alias("content"))
     distinct.join(read_cache(spark, cache_path, version), "digest", "left_anti").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
-    needed = keyed.select("digest").distinct()
+    rows = materialise(keyed.select(*keep, "n_bytes", "digest"), "digests")
+    needed = rows.select("digest").distinct()
     counts = materialise(read_cache(spark, cache_path, version).join(needed, "digest", "left_semi"), "token-counts")
-    return keyed.select(*keep, "n_bytes", "digest").join(counts, "digest").select(*keep, "n_bytes", "n_tokens")
+    return rows.join(counts, "digest").select(*keep, "n_bytes", "n_tokens")
