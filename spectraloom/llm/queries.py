@@ -75,6 +75,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ids(read_archives(archives, with_payload=False))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents leak a benchmark item."""
+    from .decontaminate import mark
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mark(documents, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_id", "covered")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     from .personal import KINDS, find_personal_data, written
@@ -107,6 +115,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op5_pii, op6_line_dedup, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op4_decontamination, op5_pii, op6_line_dedup, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
