@@ -31,20 +31,26 @@ FILTER_BITS = 22
 # fixed values: units that become placeholders after a number
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l cl s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years km/h mph m/s hz khz mhz ghz w kw j kj v a pa bar °c °f % percent dollar dollars euro euros cent cents pound pounds"
 
-_UPPER = np.isin(np.arange(256), range(65, 91))
-_LETTER = _UPPER | np.isin(np.arange(256), [*range(97, 123), *range(128, 256)])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 _DIGIT = np.isin(np.arange(256), range(48, 58))
 _CORE = _LETTER | _DIGIT
 _STOP = np.isin(np.arange(256), list(b".!?:;"))
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_MIXED_LOWER = MIXED[_LOWER]
+#: Bytes of the character that a byte begins.
+_WIDTH = np.select([np.arange(256) < 0x80, np.arange(256) < 0xE0, np.arange(256) < 0xF0], [1, 2, 3], 4)
+
+
+def _lowered(text: str) -> str:
+    """text in lower case, where that keeps the number of bytes."""
+    low = text.lower()
+    if len(low.encode("utf-8", "surrogatepass")) == len(text.encode("utf-8", "surrogatepass")):
+        return low
+    return "".join(y if len((y := x.lower()).encode("utf-8", "surrogatepass")) == len(x.encode("utf-8", "surrogatepass")) else x for x in text)
 
 
 def _unit_hashes() -> np.ndarray:
     data = np.frombuffer(UNITS.encode(), dtype=np.uint8)
     starts, ends = word_bounds(data)
-    return np.sort(SpanHasher(_MIXED_LOWER[data])(starts, ends))
+    return np.sort(SpanHasher(MIXED[data])(starts, ends))
 
 
 @dataclass
@@ -71,6 +77,7 @@ def template(texts: list[str]) -> Template:
     """Words are lower-cased without the punctuation around them; words of punctuation alone are left out."""
     encoded = [x.encode("utf-8", "surrogatepass") for x in texts]
     data = np.frombuffer(b"\n".join(encoded), dtype=np.uint8)
+    low = np.frombuffer("\n".join(map(_lowered, texts)).encode("utf-8", "surrogatepass"), dtype=np.uint8)
     starts, ends = word_bounds(data)
     core = np.concatenate([np.flatnonzero(_CORE[data]), [len(data)]])
     first = core[np.searchsorted(core, starts)] if len(starts) else starts
@@ -85,16 +92,16 @@ def template(texts: list[str]) -> Template:
         opens[1:] = _STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
     starts, ends, owner, opens = first[keep], last_before[keep], owner[keep], opens[keep]
 
-    def count(table: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(table[data])])
-        return total[ends] - total[starts]
+    def count(marks: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(marks)])
+        return total[upto] - total[starts]
 
-    values = SpanHasher(_MIXED_LOWER[data])(starts, ends) if len(data) else np.zeros(0, dtype=np.uint64)
-    letters, upper, digits = count(_LETTER), count(_UPPER), count(_DIGIT)
+    values = SpanHasher(MIXED[low])(starts, ends)
+    letters, digits = count(_LETTER[data], ends), count(_DIGIT[data], ends)
     slots = np.where(digits > 0, 1, 0)
     if len(starts):
-        accented = (data[starts] == 0xC3) & (data[np.minimum(starts + 1, len(data) - 1)] < 0x9F)
-        slots[(slots == 0) & ~opens & ((_UPPER[data[starts]] & (upper == 1)) | (accented & (upper == 0))) & (letters >= 2)] = 2
+        capital = count(data != low, np.minimum(starts + _WIDTH[data[starts]], ends))
+        slots[(slots == 0) & ~opens & (capital > 0) & (count(data != low, ends) == capital) & (letters >= 2)] = 2
         unit = np.zeros(len(starts), dtype=bool)
         unit[1:] = (slots[:-1] == 1) & (owner[1:] == owner[:-1])
         slots[unit & (slots == 0) & np.isin(values, _unit_hashes())] = 3
