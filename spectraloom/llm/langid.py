@@ -34,26 +34,24 @@ def ngrams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     Texts are lower-cased and everything but letters counts as a blank; an n-gram holds a letter at least.
     """
     lowered = [x.lower() for x in texts]
-    points = np.frombuffer("".join(f"  {x} " for x in lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.frombuffer(("".join(f"  {x} " for x in lowered) + "  ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[points]
     points = np.where(letter, points, 32)
     bounds = np.concatenate([[0], np.cumsum([len(x) + 3 for x in lowered])])
+    total = bounds[-1]
     seen = np.concatenate([[0], np.cumsum(letter)])
-    parts, counts = [], np.zeros(len(texts), dtype=np.int64)
-    marks = []
+    parts, owners = [], []
     for n in LENGTHS:
-        last = len(points) - n + 1
-        hashed = np.full(last, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
+        hashed = np.full(total, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
         for k in range(n):
-            hashed = (hashed ^ points[k : k + last]) * np.uint32(0x85EBCA6B)
+            hashed = (hashed ^ points[k : k + total]) * np.uint32(0x85EBCA6B)
             hashed ^= hashed >> np.uint32(15)
-        good = seen[n:] > seen[: last]
-        parts.append((hashed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits))
-        marks.append(good)
-        counts += np.diff(np.concatenate([[0], np.cumsum(good)])[np.minimum(bounds, last)])
-    owners = [np.repeat(np.arange(len(texts)), np.diff(np.minimum(bounds, len(x))))[m] for x, m in zip(parts, marks, strict=True)]
+        good = seen[n : n + total] > seen[:total]
+        parts.append(((hashed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits))[good])
+        owners.append(np.repeat(np.arange(len(texts)), np.diff(bounds))[good])
+    counts = sum(np.bincount(x, minlength=len(texts)) for x in owners)
     order = np.argsort(np.concatenate(owners), kind="stable") if len(LENGTHS) > 1 and len(texts) > 1 else slice(None)
-    return np.concatenate([x[m] for x, m in zip(parts, marks, strict=True)])[order], counts, seen[bounds[1:]] > seen[bounds[:-1]]
+    return np.concatenate(parts)[order], counts, seen[bounds[1:]] > seen[bounds[:-1]]
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
