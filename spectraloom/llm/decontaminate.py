@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import MIXED, SpanHasher, finish, materialise, slices, word_bounds
+from ..tables import materialise
+from .shared import MIXED, SpanHasher, finish, slices, word_bounds
 
 #: Words of a window; items with fewer have one window of their own length.
 WINDOW = 8
@@ -142,7 +143,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """(id, h, item, covered): documents that leak the benchmark, h being xxhash64 of their text; each pair of id and text once.
 
     A document leaks an item if LEAST_RUN template words in a row (all of a shorter item) or LEAST_SHARE of the item's windows match, and every
-    placeholder value of the benchmark has the same counterpart all along. A window that several items share stands for the smallest item alone, so
+    placeholder value of the benchmark has the same counterpart all along that occurrence of the item. A window that several items share stands for the smallest item alone, so
     no number of equal items multiplies the matches. Items under LEAST_WORDS words, null or empty texts and rows with null item ids match
     nothing. covered is the largest number of words in a row, or of windows.
     """
@@ -163,16 +164,22 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     met = hits.select("id", "h", "size", "at", "hash", "slots").join(known, ["size", "hash"]).dropDuplicates(["id", "h", "size", "at"])
     met = materialise(met.withColumn("pairs", F.zip_with("item_slots", "slots", lambda b, d: F.struct(F.col("item").alias("item"), b.alias("b"), d.alias("d")))).select("id", "h", "size", "at", "item", "item_at", "item_words", "pairs"), "window-matches")
 
-    def consistent():
+    def consistent() -> Column:
         pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
         return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: F.struct(x["item"], x["b"]))))
 
+    # windows with the same shift belong to one occurrence of an item; its slots must agree from end to end
+    occurrence = ["id", "h", "size", "item", "shift"]
+    met = met.withColumn("shift", F.col("at") - F.col("item_at"))
+    fit = met.groupBy(*occurrence).agg(consistent().alias("fits")).where("fits").drop("fits")
+    same = [met[c].eqNullSafe(fit[c]) for c in occurrence]
+    met = materialise(met.join(fit, same, "left_semi"), "consistent-matches")
     order = Window.partitionBy("id", "h", "size").orderBy("at")
-    runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("id", "h", "size", "run").agg((F.count(F.lit(1)) + F.first("size") - 1).alias("covered"), F.min("item").alias("item"), F.min("item_words").alias("item_words"), consistent().alias("fits"))
-    in_a_row = runs.where(F.col("fits") & (F.col("covered") >= F.least(F.lit(LEAST_RUN), F.col("item_words")))).select("id", "h", "item", "covered")
+    runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("id", "h", "size", "run").agg((F.count(F.lit(1)) + F.first("size") - 1).alias("covered"), F.min("item").alias("item"), F.min("item_words").alias("item_words"))
+    in_a_row = runs.where(F.col("covered") >= F.least(F.lit(LEAST_RUN), F.col("item_words"))).select("id", "h", "item", "covered")
     totals = known.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
-    shares = met.groupBy("id", "h", "item").agg(F.count_distinct("item_at").alias("covered"), consistent().alias("fits")).join(totals, "item")
-    in_parts = shares.where(F.col("fits") & (F.col("covered") >= F.greatest(LEAST_SHARE * F.col("windows"), F.lit(2)))).select("id", "h", "item", "covered")
+    shares = met.groupBy("id", "h", "item").agg(F.count_distinct("item_at").alias("covered")).join(totals, "item")
+    in_parts = shares.where(F.col("covered") >= F.greatest(LEAST_SHARE * F.col("windows"), F.lit(2))).select("id", "h", "item", "covered")
     return in_a_row.unionByName(in_parts).groupBy("id", "h").agg(F.min("item").alias("item"), F.max("covered").alias("covered"))
 
 

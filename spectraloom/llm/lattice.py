@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import finish, materialise
+from ..operators.components import connected_components
+from ..tables import materialise
+from .shared import finish
 
 
 @lru_cache(maxsize=1)

@@ -1,70 +1,13 @@
-"""Tables in the shared folder of the cluster, and byte-level helpers that the text operators have in common."""
+"""Byte-level helpers, folds and samples that the text operators have in common."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        if not folder:
-            folder = f"file://{tempfile.mkdtemp(prefix='spectraloom-')}"
-            context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what is written there is deleted when the driver ends."""
-    path = f"{shared_folder(spark)}/spectraloom-{uuid.uuid4().hex}/{tag}"
-    if not _written:
-        atexit.register(clean_up)
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing.
-
-    The shuffle files of the write, which nothing needs once the table is there, are removed at its end.
-    """
-    spark = df.sparkSession
-    path, before = fresh_path(spark, tag), spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean_up() -> None:
-    """Deletes the tables that materialise() has written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended: the folder goes with the cluster's clean-up
-            return
-
 
 def remainder_of_id(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import materialise
+from ..operators.components import connected_components
+from ..tables import materialise
 
 #: Fingerprints at an anchor that are compared in one go; more are dealt out as pairs of blocks.
 BLOCK = 1024
