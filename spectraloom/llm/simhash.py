@@ -18,39 +18,59 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..tables import materialise
+from .shared import finish
 
 #: Fingerprints at an anchor that are compared in one go; more are dealt out as pairs of blocks.
 BLOCK = 1024
 _SHINGLES = 1 << 16
 
 
-def fingerprint(text: str, size: int, seed: int) -> int:
-    """SimHash of the word shingles of a text, repeats included; A-Z are lower-cased, words part at ASCII white space."""
+def shingles(text: str, size: int) -> list[bytes]:
+    """Runs of size words, repeats included, or all words where there are fewer; A-Z are lower-cased, words part at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined, ends = b" ".join(words), np.cumsum([len(x) + 1 for x in words]) - 1
     size = min(size, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for k in range(0, len(starts), _SHINGLES):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _SHINGLES], ends[k : k + _SHINGLES], strict=True)], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    return [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = 3, seed: int = 42) -> DataFrame:
-    """The columns keep, then fp, the fingerprint as a signed bigint; texts without words, null or empty, have 0."""
+#: Bits of each byte, lowest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def fingerprint(text: str, size: int, seed: int, views: int = 1) -> np.ndarray:
+    """SimHashes of the word shingles of a text: the first of their XXH64 values as they are, each further view of these mixed with a constant.
+
+    A bit is set if it is in more than half of the values; a text without words has zeros.
+    """
+    grams = shingles(text, size)
+    if not grams:
+        return np.zeros(views, dtype=np.uint64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((views, 8, 8), dtype=np.int64)
+    place = 256 * (np.arange(8) + 8 * np.arange(views)[:, None, None])
+    for k in range(0, len(grams), _SHINGLES):
+        hashes = np.array([digest(x, seed) for x in grams[k : k + _SHINGLES]], dtype="<u8")
+        seen = np.stack([hashes, *(finish(hashes ^ finish(np.array([v], dtype=np.uint64))) for v in range(1, views))])
+        values = seen.view(np.uint8).reshape(views, -1, 8) + place
+        counts += np.bincount(values.ravel(), minlength=2048 * views).reshape(views, 8, 256) @ _BITS
+    return np.packbits(2 * counts.reshape(views, 64) > len(grams), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = 3, seed: int = 42, views: int = 1) -> DataFrame:
+    """The columns keep, then fps, the fingerprints as signed bigints; texts without words, null or empty, have zeros."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            made = np.array([fingerprint(x or "", size, seed) for x in batch.column(len(keep)).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(made)], names=[*keep, "fp"])
+            made = [fingerprint(x or "", size, seed, views) for x in batch.column(len(keep)).to_pylist()]
+            flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * views), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], names=[*keep, "fps"])
 
     picked = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(batches, f"{kept}, fp bigint")
+    return picked.mapInArrow(batches, f"{kept}, fps array<bigint>")
 
 
 def _bit(i: int | Column) -> Column:
@@ -76,22 +96,38 @@ def _anchors(nodes: DataFrame) -> DataFrame:
     return named.select((F.shiftleft(F.col("half").cast("bigint"), 32) + F.col("code")).alias("anchor"), "id", "fp", (F.col("k") == 0).alias("home"))
 
 
-def _linked(fps: np.ndarray, homes: np.ndarray, most: int) -> np.ndarray:
-    """For each member of one group the first member of its component, by links from members at home to all."""
+def _tree(fps: np.ndarray, homes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in one group) that connect what links between members at home and all members connect, as trees."""
     near = np.bitwise_count(fps[homes][:, None] ^ fps[None, :]) <= most
-    labels = np.arange(len(fps))
-    while len(near):
-        least = np.where(near, labels[None, :], len(fps)).min(axis=1)
-        reach = np.where(near, least[:, None], len(fps)).min(axis=0)
-        reach = np.minimum(reach, labels)
-        if (reach == labels).all():
-            break
-        labels = reach
-    return labels
+    at_home = np.full(len(fps), -1)
+    at_home[homes] = np.arange(len(homes))
+    fresh, used = np.ones(len(fps), dtype=bool), np.zeros(len(homes), dtype=bool)
+    left, right = [], []
+    for root in range(len(fps)):
+        if not fresh[root]:
+            continue
+        fresh[root], todo = False, [root]
+        while todo:
+            member = todo.pop()
+            # from a member to homes, and from a home to all members
+            reach = np.zeros(len(fps), dtype=bool)
+            reach[homes[near[:, member]]] = True
+            if (row := at_home[member]) >= 0 and not used[row]:
+                used[row] = True
+                reach |= near[row]
+            new = np.flatnonzero(reach & fresh)
+            fresh[new] = False
+            left += [member] * len(new)
+            right += new.tolist()
+            todo += new.tolist()
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
 def _compare(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) that connect what is linked in each group; rows come sorted by group, at most 2 BLOCK rows each."""
+    """Links (a, b) that connect what is linked in each group: all links of a small one, trees of a large one.
+
+    Rows come sorted by group, at most about 2 BLOCK rows each.
+    """
     rest: list[np.ndarray] | None = None
 
     def edges(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -110,10 +146,9 @@ def _compare(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             found_b.append(ids[at + k])
         for start, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
             own = slice(start, start + n)
-            labels = _linked(fps[own], np.flatnonzero(home[own]), most)
-            moved = np.flatnonzero(labels != np.arange(n))
-            found_a.append(ids[own][labels[moved]])
-            found_b.append(ids[own][moved])
+            left, right = _tree(fps[own], np.flatnonzero(home[own]), most)
+            found_a.append(ids[own][left])
+            found_b.append(ids[own][right])
         pair = np.stack([np.concatenate(found_a), np.concatenate(found_b)]) if found_a else np.zeros((2, 0), dtype=np.int64)
         pair = np.unique(pair, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
@@ -134,11 +169,11 @@ def _compare(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 
 def link_fingerprints(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
-    """Edges (a, b) between ids of nodes (id, fp; each fp once) that connect exactly what links of at most most_bits bits connect.
+    """Links (a, b) between ids of nodes (id, fp; each fp once) that connect exactly what all links of at most most_bits bits connect.
 
     most_bits is at most 3. Anchors with more than BLOCK members are counted first and their members dealt out to
-    pairs of blocks, so no task holds more than two blocks of an anchor and nothing is left out. Edges name the
-    component found at an anchor, not every pair, so a large group gives few rows for each block.
+    pairs of blocks, so no task holds more than two blocks of an anchor and nothing is left out. Of a large
+    group each block gives trees of links, not every pair, so its rows grow with its members.
     """
     if not 0 <= most_bits <= 3:
         raise ValueError("two halves with one bit each cover at most 3 differing bits")
@@ -162,7 +197,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints and are in one component. Rows with a null id get the component of their fingerprint (null if no other row has it) but
     link nothing. ids must be integers. An empty table gives no rows; other columns are left out.
     """
-    fps = materialise(fingerprints(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "text", ("id",), size, seed), "fingerprints")
+    made = fingerprints(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "text", ("id",), size, seed)
+    fps = materialise(made.select("id", F.get("fps", F.lit(0)).alias("fp")), "fingerprints")
     nodes = materialise(fps.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("id")), "distinct-fingerprints")
     same_id = fps.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count_distinct("fp").alias("n")).where(F.col("n") > 1).select("id")
     edges = link_fingerprints(nodes, most_bits)
@@ -171,3 +207,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     components = connected_components(edges.unionByName(shared).unionByName(own))
     known = materialise(nodes.join(components, nodes["id"] == components["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), "components")
     return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _similar(parts: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        keep = []
+        for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = set(shingles(left or "", size)), set(shingles(right or "", size))
+            common = len(x & y)
+            keep.append(common >= least * (len(x) + len(y) - common))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, views: int = 16, view_size: int = 2, seed: int = 42) -> DataFrame:
+    """(id_col, component_id) for each different id: groups of texts whose sets of shingles of size words are at least least similar (Jaccard).
+
+    One fingerprint of three bits' reach misses most pairs near that bound, so each text has views of them, over shingles of view_size words; links of any view
+    are candidates, and each is verified on the whole texts. component_id is the smallest id reachable over verified links, itself included. Texts with equal
+    fingerprints in all views are one node. Null and empty texts are similar to each other. Of rows that share an id one text stands for it;
+    null ids are left out, as are other columns. One view at a time is linked, so that the shuffle of one is all that is held.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull()).withColumn("h", F.xxhash64("text"))
+    fps = materialise(fingerprints(rows, "text", ("id", "h"), view_size, seed, views), "views")
+    one = fps.groupBy("id").agg(F.min(F.struct("fps", "h")).alias("x")).select("id", "x.fps", "x.h")
+    one = materialise(one, "views-by-id")
+    classes = materialise(one.groupBy("fps").agg(F.min(F.struct("id", "h")).alias("x")).select("fps", F.col("x.id").alias("node"), F.col("x.h").alias("h")), "classes")
+    pairs = None
+    for v in range(views):
+        own = classes.select("node", F.get("fps", F.lit(v)).alias("fp"))
+        firsts = materialise(own.groupBy("fp").agg(F.min("node").alias("id")), "view-nodes")
+        same = own.join(firsts, "fp").where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+        links = same.unionByName(link_fingerprints(firsts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = materialise(links, "view-links")
+        pairs = links if pairs is None else pairs.unionByName(links)
+    pairs = materialise(pairs.distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select(F.col("node").alias("id"), "h"), "id")
+    texts = materialise(rows.join(wanted, ["id", "h"]).groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
+    end = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
+    components = connected_components(both.mapInArrow(lambda parts: _similar(parts, size, least), "a bigint, b bigint"))
+    known = materialise(classes.join(components, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id")), "components")
+    return one.select("id", "fps").join(known, "fps").select(F.col("id").alias(id_col), "component_id")

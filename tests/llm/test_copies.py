@@ -130,6 +130,29 @@ def test_fingerprint_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_similar_groups_against_all_pairs(spark):
+    rnd = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) + str(rnd.randint(0, 30)) for _ in range(rnd.choice([3, 60, 200]))]
+        for changes in (0, 0, 1, 1, 2, 30):
+            w = list(base)
+            for _ in range(changes):
+                w[rnd.randrange(len(w))] = "new" + str(rnd.randint(0, 10**6))
+            texts.append(" ".join(w))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(500, None, None, None, None), (501, "", "en", "s", 1), (None, texts[0], "en", "s", 1), (3, texts[3], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"fps": F.lit(1), "node": F.lit(1)})
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components(len(texts), near)
+    together = [(got[i] == got[j]) for i, j in near]
+    assert len(near) > 40 and sum(together) >= 0.9 * len(near)
+    assert all(want[i] == want[j] for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j])
+    assert got[500] == got[501] == 500 and None not in got and len(got) == len(texts) + 2
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
 def test_components_of_stars_paths_and_cycles(spark):
     edges = [(100, i) for i in range(40)] + [(i, i + 1) for i in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (7, 7), (None, 3), (301, 302)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

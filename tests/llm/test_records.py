@@ -147,7 +147,7 @@ def test_pipeline_stages_one_by_one(spark, sf_dir):
     assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: r.text for r in linededup.drop_near_copies(before).collect()}
     assert all(r.n_chars == len(r.text) for r in after.collect())
     before, after = kept["simhash"]
-    groups = simhash.near_duplicates(before).collect()
+    groups = simhash.similar_groups(before).collect()
     assert {r.doc_id for r in after.collect()} == {r.component_id for r in groups}
     before, after = kept["decontamination"]
     assert after.count() <= before.count()
