@@ -78,8 +78,14 @@ def grid(pixels: DataFrame, height: int | None = None, width: int | None = None)
         size = spark.range(1).select(F.lit(height).alias("h"), F.lit(width).alias("w"))
     else:
         size = pixels.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    rows = size.where(F.col("h") > 0).select("w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    return rows.select("y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    return _cells(size.where(F.col("h") > 0), [])
+
+
+def _cells(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, x) of every cell of canvases (keys, h, w); rows are dealt to all tasks before they become cells."""
+    rows = sizes.select(*keys, "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    dealt = rows.repartition(sizes.sparkSession.sparkContext.defaultParallelism, *keys, "y")
+    return dealt.select(*keys, "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
 
 
 def coverage(pixels: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
@@ -108,7 +114,7 @@ def distance(valid: DataFrame, keys: list[str], height: int, width: int) -> Data
     The canvas' border isn't an edge; without any invalid cell the distance is infinite. valid has a row for each valid cell. Two separable passes: the
     nearest invalid row in each column by windows, then the least of dx^2 + g^2 along each row, in numpy for blocks of whole rows.
     """
-    every = valid.select(*keys).distinct().crossJoin(F.broadcast(grid(valid, height, width)))
+    every = _cells(valid.select(*keys).distinct().select(*keys, F.lit(height).alias("h"), F.lit(width).alias("w")), keys)
     cells = every.join(valid.select(*keys, "y", "x", F.lit(True).alias("ok")), [*keys, "y", "x"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     column = Window.partitionBy(*keys, "x").orderBy("y")
     gone = F.when(~F.col("ok"), F.col("y"))

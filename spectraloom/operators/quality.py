@@ -175,8 +175,9 @@ def seam_statistics(mosaic: DataFrame, sources: DataFrame, strict: bool = False)
     """(band, n, mean, median, p95, max) by band and, with a NULL band, pooled; pooled zeros without seams."""
     jumps = seam_jumps(mosaic, sources, strict)
     stats = jumps.rollup("band").agg(F.count("jump").alias("n"), F.avg("jump").alias("mean"), F.expr("percentile(jump, 0.5)").alias("median"), F.expr("percentile(jump, 0.95)").alias("p95"), F.max("jump").alias("max"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return stats.select("band", "n", zero("mean"), zero("median"), zero("p95"), zero("max"))
+    # a rollup of nothing has no pooled row, so one of zeros goes in; no figure is below it
+    zeros = jumps.sparkSession.range(1).select(F.lit(None).cast("int").alias("band"), F.lit(0).cast("bigint").alias("n"), *(F.lit(0.0).alias(c) for c in ("mean", "median", "p95", "max")))
+    return stats.unionByName(zeros).groupBy("band").agg(*(F.max(c).alias(c) for c in ("n", "mean", "median", "p95", "max")))
 
 
 def seam_length(sources: DataFrame) -> DataFrame:
