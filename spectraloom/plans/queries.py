@@ -188,6 +188,24 @@ def sink_copy_frames(spark, sf_dir):
     return rasters.copy_survivors(frames, filters.split(filters.hard(frames))[0]).select("frame_id", "width", "height")
 
 
+@query(_FIRST + " SELECT y, x, source_id FROM fw WHERE band = 2")
+def sink_sources(spark, sf_dir):
+    made = mosaic.first_wins(views.frame_pixels(spark, sf_dir))
+    return _stored(spark, mosaic.sources(made, 2), "sources", rasters.write_raster)
+
+
+@query(f"WITH {_LI} SELECT y, x, count(*) AS n FROM px WHERE band = 1 AND frame_id > 4 GROUP BY 1, 2")
+def delete_before_write(spark, sf_dir):
+    """The second raster takes the place of the first."""
+    p = views.frame_pixels(spark, sf_dir)
+
+    def twice(df, path):
+        rasters.write_raster(mosaic.overlap_count(p.where("frame_id <= 4")), path)
+        rasters.write_raster(df, path)
+
+    return _stored(spark, mosaic.overlap_count(p.where("frame_id > 4")), "overlap", twice)
+
+
 # frame filters
 
 
@@ -458,6 +476,13 @@ def gap_region_metrics(spark, sf_dir):
     return gaps.region_metrics(mask, 2.0, -2.0)
 
 
+@query(f"WITH RECURSIVE {_FM}, cl AS (SELECT y, x FROM fm WHERE state = 1), lb(y, x, label) AS (SELECT y, x, y::BIGINT * 2147483648 + x FROM cl UNION SELECT cl.y, cl.x, lb.label FROM lb, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), cl WHERE cl.y = lb.y + dy AND cl.x = lb.x + dx), la AS (SELECT y, x, min(label) AS label FROM lb GROUP BY 1, 2), s AS (SELECT label, count(*) AS n FROM la GROUP BY 1) SELECT count(*) AS regions, coalesce(max(n), 0) AS largest_cells, coalesce(max(n), 0) * 1e0 AS largest_area FROM s")
+def gap_metrics_in_quality(spark, sf_dir):
+    from . import score
+
+    return score.run(*_pair(spark, sf_dir), 64, _mask(spark, sf_dir)).gaps
+
+
 # filling
 
 _FOLD = f"""WITH RECURSIVE {_ED}, sc AS (SELECT band, y, x, v, v IS NOT NULL AS src FROM ed), hi AS (SELECT max(y) AS h FROM sc),
