@@ -23,6 +23,10 @@ from .shared import finish
 #: Fingerprints at an anchor that are compared in one go; more are dealt out as pairs of blocks.
 BLOCK = 1024
 _SHINGLES = 1 << 16
+#: One in so many fingerprints is counted to find large anchors; that decides how members are dealt out and nothing else.
+COUNTED = 16
+#: Views that are linked in one pass.
+VIEWS_AT_ONCE = 4
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -78,9 +82,9 @@ def _bit(i: int | Column) -> Column:
 
 
 def _anchors(nodes: DataFrame) -> DataFrame:
-    """(anchor, id, fp, home) for all anchors of both halves of each fingerprint."""
+    """(anchor, id, fp, home) for all anchors of both halves of each fingerprint; anchors of different views differ."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    halves = nodes.select("id", "fp", F.posexplode(F.array(low, F.shiftrightunsigned("fp", 32))).alias("half", "x"))
+    halves = nodes.select("view", "id", "fp", F.posexplode(F.array(low, F.shiftrightunsigned("fp", 32))).alias("half", "x"))
     syndrome = F.lit(0)
     for j in range(5):
         mask = sum(1 << i for i in range(31) if (i + 1) >> j & 1)
@@ -92,8 +96,9 @@ def _anchors(nodes: DataFrame) -> DataFrame:
     pairs = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: (F.col("s") != 0) & (i < partner(i)))
     others = F.transform(pairs, lambda i: F.col("x").bitwiseXOR(_bit(i - 1)).bitwiseXOR(_bit(partner(i) - 1)))
     flipped = home.bitwiseXOR(F.lit(1 << 31).cast("bigint"))
-    named = named.select("id", "fp", "half", F.posexplode(F.concat(F.array(home, flipped), others)).alias("k", "code"))
-    return named.select((F.shiftleft(F.col("half").cast("bigint"), 32) + F.col("code")).alias("anchor"), "id", "fp", (F.col("k") == 0).alias("home"))
+    named = named.select("view", "id", "fp", "half", F.posexplode(F.concat(F.array(home, flipped), others)).alias("k", "code"))
+    space = F.col("view").cast("bigint") * 2 + F.col("half")
+    return named.select((F.shiftleft(space, 32) + F.col("code")).alias("anchor"), "id", "fp", (F.col("k") == 0).alias("home"))
 
 
 def _tree(fps: np.ndarray, homes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,16 +174,17 @@ def _compare(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 
 def link_fingerprints(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
-    """Links (a, b) between ids of nodes (id, fp; each fp once) that connect exactly what all links of at most most_bits bits connect.
+    """Links (a, b) between ids of nodes (view, id, fp; each fp once a view) that connect exactly what all links of at most most_bits bits connect.
 
-    most_bits is at most 3. Anchors with more than BLOCK members are counted first and their members dealt out to
-    pairs of blocks, so no task holds more than two blocks of an anchor and nothing is left out. Of a large
-    group each block gives trees of links, not every pair, so its rows grow with its members.
+    Fingerprints of different views aren't compared. most_bits is at most 3. Anchors with more than about BLOCK members are found
+    first, by counting one in COUNTED, and their members are dealt out to pairs of blocks, so no task holds more than about a block of an
+    anchor at a time and nothing is left out. Of a large group each block gives trees of links, not every pair, so its rows grow with its members.
     """
     if not 0 <= most_bits <= 3:
         raise ValueError("two halves with one bit each cover at most 3 differing bits")
     replicas = _anchors(nodes)
-    heavy = materialise(replicas.groupBy("anchor").count().where(F.col("count") > BLOCK), "heavy-anchors")
+    some = _anchors(nodes.where(F.pmod(F.xxhash64(F.lit("count"), "fp"), F.lit(COUNTED)) == 0)).groupBy("anchor").count()
+    heavy = materialise(some.where(F.col("count") > BLOCK // COUNTED).select("anchor", (F.col("count") * COUNTED).alias("count")), "heavy-anchors")
     grouped = replicas.withColumn("block", F.lit(0).cast("bigint"))
     if not heavy.isEmpty():
         blocks = heavy.select("anchor", F.ceil(F.col("count") / F.lit(BLOCK // 2)).alias("blocks"))
@@ -201,7 +207,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = materialise(made.select("id", F.get("fps", F.lit(0)).alias("fp")), "fingerprints")
     nodes = materialise(fps.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("id")), "distinct-fingerprints")
     same_id = fps.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count_distinct("fp").alias("n")).where(F.col("n") > 1).select("id")
-    edges = link_fingerprints(nodes, most_bits)
+    edges = link_fingerprints(nodes.withColumn("view", F.lit(0)), most_bits)
     shared = fps.join(same_id, "id").join(nodes.select("fp", F.col("id").alias("b")), "fp").select(F.col("id").alias("a"), "b")
     own = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
     components = connected_components(edges.unionByName(shared).unionByName(own))
@@ -225,7 +231,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     One fingerprint of three bits' reach misses most pairs near that bound, so each text has views of them, over shingles of view_size words; links of any view
     are candidates, and each is verified on the whole texts. component_id is the smallest id reachable over verified links, itself included. Texts with equal
     fingerprints in all views are one node. Null and empty texts are similar to each other. Of rows that share an id one text stands for it;
-    null ids are left out, as are other columns. One view at a time is linked, so that the shuffle of one is all that is held.
+    null ids are left out, as are other columns. VIEWS_AT_ONCE views are linked in a pass, so that only their shuffle is held at a time.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull()).withColumn("h", F.xxhash64("text"))
     fps = materialise(fingerprints(rows, "text", ("id", "h"), view_size, seed, views), "views")
@@ -233,10 +239,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = materialise(one, "views-by-id")
     classes = materialise(one.groupBy("fps").agg(F.min(F.struct("id", "h")).alias("x")).select("fps", F.col("x.id").alias("node"), F.col("x.h").alias("h")), "classes")
     pairs = None
-    for v in range(views):
-        own = classes.select("node", F.get("fps", F.lit(v)).alias("fp"))
-        firsts = materialise(own.groupBy("fp").agg(F.min("node").alias("id")), "view-nodes")
-        same = own.join(firsts, "fp").where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    for first in range(0, views, VIEWS_AT_ONCE):
+        own = classes.select("node", F.posexplode(F.slice("fps", first + 1, VIEWS_AT_ONCE)).alias("view", "fp"))
+        firsts = materialise(own.groupBy("view", "fp").agg(F.min("node").alias("id")), "view-nodes")
+        same = own.join(firsts, ["view", "fp"]).where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
         links = same.unionByName(link_fingerprints(firsts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = materialise(links, "view-links")
         pairs = links if pairs is None else pairs.unionByName(links)

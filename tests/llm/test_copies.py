@@ -112,7 +112,7 @@ def test_anchors_lose_no_link(spark, monkeypatch, block):
             p ^= 1 << b
         prints.add(p)
     prints = np.array(sorted(prints), dtype=np.uint64)
-    nodes = spark.createDataFrame([(i, int(p)) for i, p in enumerate(prints.view(np.int64))], "id bigint, fp bigint")
+    nodes = spark.createDataFrame([(i, int(p)) for i, p in enumerate(prints.view(np.int64))], "id bigint, fp bigint").withColumn("view", F.lit(0))
     found = {r.node: r.component for r in connected_components(simhash.link_fingerprints(nodes)).collect()}
     near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 3
     want = components(len(prints), np.argwhere(np.triu(near, 1)))
