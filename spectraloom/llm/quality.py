@@ -105,7 +105,7 @@ def _train(rows: list[tuple[int, float, np.ndarray, np.ndarray]], bits: int, epo
 def fit(labelled_texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 16, rows_per_label: int = 2500, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> QualityModel:
     """Fits on at most about rows_per_label rows of each label; rows of a thinned label weigh accordingly more.
 
-    labels may hold nulls (left out) and repeated ids (the lowest label counts). The sampled labels, a bounded number of rows, are
+    labels may hold nulls (left out) and repeated ids (the lowest label counts); of texts that share an id one is learnt. The sampled labels, a bounded number of rows, are
     broadcast to the texts; the sparse rows of the sample, at most 2^bits numbers each, come to the driver, where the
     updates run in an order fixed by the ids. Without any label the model scores 0.5.
     """
@@ -134,11 +134,14 @@ def fit(labelled_texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(2).slice(start, end - start), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["id", "label", "at", "value"])
 
     kind = labels.schema[id_col].dataType.simpleString()
-    rows = texts.select("__id", "__text", "__label").mapInArrow(sparse, f"id {kind}, label int, at array<int>, value array<float>").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toArrow()
+    rows = texts.select("__id", "__text", "__label").mapInArrow(sparse, f"id {kind}, label int, at array<int>, value array<float>").groupBy("id", "label").agg(F.min(F.struct("at", "value")).alias("x")).select("id", "label", "x.*").orderBy(F.xxhash64("id"), "id").toArrow()
     mine = rows.column("label").to_numpy()
     share = {k: totals[k] / max(1, int((mine == k).sum())) for k in totals}
     mean = sum(share[k] * int((mine == k).sum()) for k in totals) / max(1, len(mine))
-    examples = [(int(k), share[int(k)] / mean, np.array(a, dtype=np.int64), np.array(v, dtype=np.float64)) for k, a, v in zip(mine, rows.column("at").to_pylist(), rows.column("value").to_pylist(), strict=True)]
+    places, values = (rows.column(c).combine_chunks() for c in ("at", "value"))
+    bounds = places.offsets.to_numpy()
+    places, values = places.values.to_numpy(), values.values.to_numpy()
+    examples = [(int(k), share[int(k)] / mean, places[a:b], values[a:b]) for k, a, b in zip(mine, bounds[:-1], bounds[1:], strict=True)]
     return _train(examples, bits, epochs, alpha, beta, l1, l2)
 
 
