@@ -1,6 +1,7 @@
 """Lines, fingerprints, embeddings and benchmark leaks against plain versions."""
 
 import itertools
+import math
 import random
 import re
 
@@ -169,6 +170,20 @@ def test_lattice_decodes_to_the_nearest_point():
         assert all(((p - q) ** 2).sum() <= ((p - q - v) ** 2).sum() + 1e-9 for v in lattice.neighbours())
 
 
+def test_signs_keep_pairs_at_the_bound():
+    rng = np.random.default_rng(0)
+    u = rng.normal(size=(20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = 0.95 * u + math.sqrt(1 - 0.95**2) * w
+    differ = np.bitwise_count((lattice.signs(u) ^ lattice.signs(v)).view(np.uint64))
+    assert lattice.most_signs(0.95) == 22 and differ.max() <= 22
+    apart = np.bitwise_count((lattice.signs(u) ^ lattice.signs(w)).view(np.uint64))
+    assert (apart <= 22).mean() < 0.02
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 64))
