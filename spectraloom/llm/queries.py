@@ -117,4 +117,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op4_decontamination, op5_pii, op6_line_dedup, op7_embedding_near_dups, op8_token_counts, op9_simhash, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only where SQL gives the same rows in reasonable time at the sizes it is run at; the others are held against plain versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op7_embedding_near_dups": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 95e-2),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT least.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, least.a = component_id AS kept FROM least LEFT JOIN n USING (a)"""
+}
