@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialise
@@ -143,16 +143,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """(id, h, item, covered): documents that leak the benchmark, h being xxhash64 of their text; each pair of id and text once.
 
     A document leaks an item if LEAST_RUN template words in a row (all of a shorter item) or LEAST_SHARE of the item's windows match, and every
-    placeholder value of the benchmark has the same counterpart all along that occurrence of the item. A window that several items share stands for the smallest item alone, so
-    no number of equal items multiplies the matches. Items under LEAST_WORDS words, null or empty texts and rows with null item ids match
+    placeholder value of the benchmark has the same counterpart all along that occurrence of the item; windows with the item's own values always
+    count. A window that several items share is held against each of them, so matches grow with the items that share it; equal texts are one item. Items under LEAST_WORDS words, null or empty texts and rows with null item ids match
     nothing. covered is the largest number of words in a row, or of windows.
     """
     spark = documents.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.lit(0).cast("bigint").alias("h"), F.col(item_text_col).cast("string").alias("text"))
+    named = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
+    items = named.groupBy("text").agg(F.min("id").alias("id")).select("id", F.xxhash64("text").alias("h"), "text")
     sizes = tuple(range(LEAST_WORDS, WINDOW + 1))
-    all_windows = materialise(_window_rows(items, sizes, True, None), "benchmark-windows")
-    chosen = all_windows.groupBy("size", "hash").agg(F.min(F.struct(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"))).alias("x"))
-    known = materialise(chosen.select("size", "hash", "x.*"), "known-windows")
+    found = _window_rows(items, sizes, True, None)
+    known = materialise(found.select("size", "hash", F.col("id").alias("item"), F.col("h").alias("item_h"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words")), "known-windows")
     prefixes = known.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p")).distinct().toArrow().column("p").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[prefixes] = True
@@ -161,24 +161,24 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
     hits = materialise(_window_rows(texts, used, False, bitmap), "window-hits")
-    met = hits.select("id", "h", "size", "at", "hash", "slots").join(known, ["size", "hash"]).dropDuplicates(["id", "h", "size", "at"])
-    met = materialise(met.withColumn("pairs", F.zip_with("item_slots", "slots", lambda b, d: F.struct(F.col("item").alias("item"), b.alias("b"), d.alias("d")))).select("id", "h", "size", "at", "item", "item_at", "item_words", "pairs"), "window-matches")
-
-    def consistent() -> Column:
-        pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
-        return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: F.struct(x["item"], x["b"]))))
-
-    # windows with the same shift belong to one occurrence of an item; its slots must agree from end to end
-    occurrence = ["id", "h", "size", "item", "shift"]
-    met = met.withColumn("shift", F.col("at") - F.col("item_at"))
-    fit = met.groupBy(*occurrence).agg(consistent().alias("fits")).where("fits").drop("fits")
-    same = [met[c].eqNullSafe(fit[c]) for c in occurrence]
-    met = materialise(met.join(fit, same, "left_semi"), "consistent-matches")
-    order = Window.partitionBy("id", "h", "size").orderBy("at")
-    runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("id", "h", "size", "run").agg((F.count(F.lit(1)) + F.first("size") - 1).alias("covered"), F.min("item").alias("item"), F.min("item_words").alias("item_words"))
+    met = hits.select("id", "h", "size", "at", "hash", "slots").join(known, ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    met = met.withColumn("pairs", F.zip_with("item_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
+    met = met.select("id", "h", "size", "at", "item", "item_h", "item_at", "item_words", "shift", "pairs", (F.col("item_slots") == F.col("slots")).alias("equal"))
+    # windows with the same shift belong to one occurrence of an item
+    occurrence = ["id", "h", "size", "item", "item_h", "shift", "item_words"]
+    met = materialise(met.dropDuplicates([*occurrence, "at"]), "window-matches")
+
+    # its slots must agree from end to end, but windows filled like the item's are copies whatever stands around them
+    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
+    fits = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["b"])))
+    whole = met.groupBy(*occurrence).agg(fits.alias("fits"), F.collect_list(F.struct("at", "item_at", "equal")).alias("places"))
+    kept = whole.select(*occurrence, F.inline(F.filter("places", lambda x: F.col("fits") | x["equal"])))
+    met = materialise(kept.select(*occurrence, "at", "item_at"), "consistent-matches")
+    order = Window.partitionBy(*occurrence).orderBy("at")
+    runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy(*occurrence, "run").agg((F.count(F.lit(1)) + F.col("size") - 1).alias("covered"))
     in_a_row = runs.where(F.col("covered") >= F.least(F.lit(LEAST_RUN), F.col("item_words"))).select("id", "h", "item", "covered")
-    totals = known.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
-    shares = met.groupBy("id", "h", "item").agg(F.count_distinct("item_at").alias("covered")).join(totals, "item")
+    totals = known.groupBy("item", "item_h").agg(F.count_distinct("item_at").alias("windows"))
+    shares = met.groupBy("id", "h", "item", "item_h").agg(F.count_distinct("item_at").alias("covered")).join(totals, ["item", "item_h"])
     in_parts = shares.where(F.col("covered") >= F.greatest(LEAST_SHARE * F.col("windows"), F.lit(2))).select("id", "h", "item", "covered")
     return in_a_row.unionByName(in_parts).groupBy("id", "h").agg(F.min("item").alias("item"), F.max("covered").alias("covered"))
 

@@ -255,3 +255,18 @@ def test_template_windows_stay_inside_texts():
     at, hashes = whole.windows(8)
     apart = np.concatenate([decontaminate.template([t]).windows(8)[1] for t in texts])
     assert hashes.tolist() == apart.tolist() and all(itertools.pairwise(at.tolist()))
+
+
+def found_items(spark, items, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = decontaminate.mark(docs, spark.createDataFrame(list(enumerate(items, 1)), BENCH)).collect()
+    return [r.item_id for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_copies_of_each_item_of_a_template(spark):
+    items = [f"In the morning Tom has {a} apples and buys {b} more apples so how many apples does he have now" for a, b in ((5, 5), (3, 7), (5, 5), (3, 9))]
+    changed = "In the morning Tom has 4 apples and buys 6 more apples so how many apples does he have now"
+    assert found_items(spark, items, [f"some words {x} some words" for x in (items[0], items[1], items[3], changed)]) == [1, 2, 2, 2]
+    # a copied part counts even where another value contradicts it further on
+    tail = items[1] + " if the other 3 of his friends come along"
+    assert found_items(spark, [tail], [tail.replace("other 3", "other 8")]) == [1]
