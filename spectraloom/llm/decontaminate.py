@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, windows of the resulting templates are hashed, and the windows of documents are
+Numbers, names and units become typed placeholders, windows of the resulting templates are hashed, windows with placeholders also by what stands there, and the windows of documents are
 hash-joined to those of the benchmark. Windows that match may differ in what fills the placeholders, as in re-parameterised
 questions; each benchmark value must then be replaced by the same document value all along.
 """
@@ -26,6 +26,8 @@ LEAST_WORDS = 4
 LEAST_RUN = 13
 #: So large a share of an item's windows is a leak even if they don't follow one another.
 LEAST_SHARE = 0.5
+#: Kinds of windows: of the template, and of copies.
+KINDS = 2
 #: Bits that the prefilter takes of each window's hash: its bitmap has 2^22 bits, 512 KB, whatever the benchmark's size.
 FILTER_BITS = 22
 
@@ -66,12 +68,22 @@ class Template:
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows inside one text with more literals than placeholders."""
-        if len(self.codes) < size:
+        return self._hashed(self.codes, self.slots > 0, size, size // 2)
+
+    def copied_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows with placeholders, hashed by what stands there: only copies have them."""
+        starts, hashes = self._hashed(self.values, self.slots > 0, size, -1)
+        filled = np.concatenate([[0], np.cumsum(self.slots > 0)])
+        some = filled[starts + size] > filled[starts]
+        return starts[some], hashes[some]
+
+    def _hashed(self, codes: np.ndarray, slots: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(codes) < size:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        literal = np.concatenate([[0], np.cumsum(self.slots == 0)])
+        literal = np.concatenate([[0], np.cumsum(~slots)])
         inside = self.owner[size - 1 :] == self.owner[: len(self.owner) - size + 1]
-        starts = np.flatnonzero(inside & (literal[size:] - literal[:-size] > size // 2))
-        return starts, SpanHasher(self.codes)(starts, starts + size)
+        starts = np.flatnonzero(inside & (literal[size:] - literal[:-size] > least))
+        return starts, SpanHasher(codes)(starts, starts + size)
 
 
 def template(texts: list[str]) -> Template:
@@ -111,7 +123,7 @@ def template(texts: list[str]) -> Template:
 
 
 def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, bitmap) -> DataFrame:
-    """(id, h, size, at, hash, slots, n_words) of the windows of picked (id, h, text): of documents those the bitmap holds."""
+    """(id, h, size, at, hash, words, slots, kind, n_words) of the windows of picked (id, h, text): of documents those the bitmap holds."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8), bitorder="little").view(bool)
@@ -121,22 +133,27 @@ def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, b
                 made = template(texts[start:end])
                 offset = np.cumsum(made.counts) - made.counts
                 for size in sizes:
-                    at, hashes = made.windows(size)
+                    found = [made.windows(size), made.copied_windows(size)]
+                    at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+                    kinds = np.repeat(np.arange(KINDS, dtype=np.int32), [len(x[0]) for x in found])
                     if whole_short:
                         good = (made.counts[made.owner[at]] == size) | (size == WINDOW)
                     else:
                         good = held[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                    at, hashes = at[good], hashes[good]
+                    at, hashes, kinds = at[good], hashes[good], kinds[good]
                     if not len(at):
                         continue
                     own = made.owner[at]
-                    slots = [made.values[i : i + size][made.slots[i : i + size] > 0].view(np.int64) for i in at]
+                    places = at[:, None] + np.arange(size)
+                    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * size)
+                    values = pa.ListArray.from_arrays(ends, pa.array(made.values[places].view(np.int64).ravel()))
+                    slots = pa.ListArray.from_arrays(ends, pa.array(made.slots[places].astype(np.int32).ravel()))
                     rows = pa.array(own + start)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array((at - offset[own]).astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(made.counts[own].astype(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array((at - offset[own]).astype(np.int64)), pa.array(hashes.view(np.int64)), values, slots, pa.array(kinds), pa.array(made.counts[own].astype(np.int64))], names=names)
 
-    names = ["id", "h", "size", "at", "hash", "slots", "n_words"]
+    names = ["id", "h", "size", "at", "hash", "words", "slots", "kind", "n_words"]
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(batches, f"id {kind}, h bigint, size int, at bigint, hash bigint, slots array<bigint>, n_words bigint")
+    return picked.mapInArrow(batches, f"id {kind}, h bigint, size int, at bigint, hash bigint, words array<bigint>, slots array<int>, kind int, n_words bigint")
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -152,7 +169,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     items = named.groupBy("text").agg(F.min("id").alias("id")).select("id", F.xxhash64("text").alias("h"), "text")
     sizes = tuple(range(LEAST_WORDS, WINDOW + 1))
     found = _window_rows(items, sizes, True, None)
-    known = materialise(found.select("size", "hash", F.col("id").alias("item"), F.col("h").alias("item_h"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words")), "known-windows")
+    known = materialise(found.select("size", "hash", F.col("id").alias("item"), F.col("h").alias("item_h"), F.col("at").alias("item_at"), F.col("words").alias("item_values"), F.col("slots").alias("item_slots"), "kind", F.col("n_words").alias("item_words")), "known-windows")
     prefixes = known.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p")).distinct().toArrow().column("p").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[prefixes] = True
@@ -161,9 +178,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
     hits = materialise(_window_rows(texts, used, False, bitmap), "window-hits")
-    met = hits.select("id", "h", "size", "at", "hash", "slots").join(known, ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
-    met = met.withColumn("pairs", F.zip_with("item_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
-    met = met.select("id", "h", "size", "at", "item", "item_h", "item_at", "item_words", "shift", "pairs", (F.col("item_slots") == F.col("slots")).alias("equal"))
+    met = hits.select("id", "h", "size", "at", "hash", "words").join(known.drop("kind"), ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    filled = F.filter(F.arrays_zip(F.col("item_values").alias("b"), F.col("words").alias("d"), F.col("item_slots").alias("slot")), lambda x: x["slot"] > 0)
+    met = met.withColumn("pairs", F.transform(filled, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))))
+    met = met.select("id", "h", "size", "at", "item", "item_h", "item_at", "item_words", "shift", "pairs", (F.col("item_values") == F.col("words")).alias("equal"))
     # windows with the same shift belong to one occurrence of an item
     occurrence = ["id", "h", "size", "item", "item_h", "shift", "item_words"]
     met = materialise(met.dropDuplicates([*occurrence, "at"]), "window-matches")
@@ -177,8 +195,12 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     order = Window.partitionBy(*occurrence).orderBy("at")
     runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy(*occurrence, "run").agg((F.count(F.lit(1)) + F.col("size") - 1).alias("covered"))
     in_a_row = runs.where(F.col("covered") >= F.least(F.lit(LEAST_RUN), F.col("item_words"))).select("id", "h", "item", "covered")
-    totals = known.groupBy("item", "item_h").agg(F.count_distinct("item_at").alias("windows"))
-    shares = met.groupBy("id", "h", "item", "item_h").agg(F.count_distinct("item_at").alias("covered")).join(totals, ["item", "item_h"])
+    # places whose only windows are those of copies say nothing against a new fill: the share is taken without and with them
+    strict = known.groupBy("item", "item_h", "item_at").agg(F.min("kind").alias("kind"))
+    levels = F.explode(F.sequence(F.col("kind"), F.lit(KINDS - 1))).alias("level")
+    totals = strict.select("item", "item_h", levels).groupBy("item", "item_h", "level").agg(F.count(F.lit(1)).alias("windows"))
+    places = met.select("id", "h", "item", "item_h", "item_at").distinct().join(strict, ["item", "item_h", "item_at"]).select("id", "h", "item", "item_h", levels)
+    shares = places.groupBy("id", "h", "item", "item_h", "level").agg(F.count(F.lit(1)).alias("covered")).join(totals, ["item", "item_h", "level"])
     in_parts = shares.where(F.col("covered") >= F.greatest(LEAST_SHARE * F.col("windows"), F.lit(2))).select("id", "h", "item", "covered")
     return in_a_row.unionByName(in_parts).groupBy("id", "h").agg(F.min("item").alias("item"), F.max("covered").alias("covered"))
 

@@ -270,3 +270,13 @@ def test_copies_of_each_item_of_a_template(spark):
     # a copied part counts even where another value contradicts it further on
     tail = items[1] + " if the other 3 of his friends come along"
     assert found_items(spark, [tail], [tail.replace("other 3", "other 8")]) == [1]
+
+
+def test_copies_of_items_full_of_numbers_and_names(spark):
+    items = ["What is 12 * 34 + 56 ?", "Barack Obama met Angela Merkel and Emmanuel Macron in Paris in May 2016", "What is 12 plus 34 minus 5 times 6?", "Solve 2x + 3y = 12 and 4x - 5y = 6 for x and y"]
+    copies = [f"some words about this and that {x} and so on" for x in items]
+    others = ["What is 13 * 35 + 57 ?", "Tony Blair met Gerhard Schroeder and Jacques Chirac in Berlin in June 2001", "3 4 5 6 7"]
+    assert found_items(spark, items, copies + others) == [1, 2, 3, 4, None, None, None]
+    # windows that only copies can match don't count against a new fill of the rest
+    item = "the cook puts a little salt into the pan and 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
+    assert found_items(spark, [item], [item.replace(" 1 ", " 50 ").replace(" 3 ", " 70 ")]) == [1]
