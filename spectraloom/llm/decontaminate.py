@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, windows of the resulting templates are hashed, windows with placeholders also by what stands there, and the windows of documents are
+Numbers, names and units become typed placeholders, windows of the resulting templates are hashed, also with names as literals and by what stands there, and the windows of documents are
 hash-joined to those of the benchmark. Windows that match may differ in what fills the placeholders, as in re-parameterised
 questions; each benchmark value must then be replaced by the same document value all along.
 """
@@ -26,8 +26,8 @@ LEAST_WORDS = 4
 LEAST_RUN = 13
 #: So large a share of an item's windows is a leak even if they don't follow one another.
 LEAST_SHARE = 0.5
-#: Kinds of windows: of the template, and of copies.
-KINDS = 2
+#: Kinds of windows: of the template, of the template with its names, and of copies.
+KINDS = 3
 #: Bits that the prefilter takes of each window's hash: its bitmap has 2^22 bits, 512 KB, whatever the benchmark's size.
 FILTER_BITS = 22
 
@@ -70,12 +70,17 @@ class Template:
         """Starts and hashes of the windows inside one text with more literals than placeholders."""
         return self._hashed(self.codes, self.slots > 0, size, size // 2)
 
+    def named_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows with more words and names than other placeholders, names being literals.
+
+        Which words are typed as names depends on capitals and line breaks; these windows don't.
+        """
+        names = self.slots == 2
+        return self._hashed(np.where(names, self.values, self.codes), (self.slots > 0) & ~names, size, size // 2)
+
     def copied_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows with placeholders, hashed by what stands there: only copies have them."""
-        starts, hashes = self._hashed(self.values, self.slots > 0, size, -1)
-        filled = np.concatenate([[0], np.cumsum(self.slots > 0)])
-        some = filled[starts + size] > filled[starts]
-        return starts[some], hashes[some]
+        """Starts and hashes of all windows, hashed by what stands there: only copies have them."""
+        return self._hashed(self.values, self.slots > 0, size, -1)
 
     def _hashed(self, codes: np.ndarray, slots: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         if len(codes) < size:
@@ -133,7 +138,7 @@ def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, b
                 made = template(texts[start:end])
                 offset = np.cumsum(made.counts) - made.counts
                 for size in sizes:
-                    found = [made.windows(size), made.copied_windows(size)]
+                    found = [made.windows(size), made.named_windows(size), made.copied_windows(size)]
                     at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
                     kinds = np.repeat(np.arange(KINDS, dtype=np.int32), [len(x[0]) for x in found])
                     if whole_short:
@@ -143,6 +148,9 @@ def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, b
                     at, hashes, kinds = at[good], hashes[good], kinds[good]
                     if not len(at):
                         continue
+                    # without placeholders the kinds have one hash
+                    _, first = np.unique(np.stack([at.view(np.uint64), hashes]), axis=1, return_index=True)
+                    at, hashes, kinds = at[first], hashes[first], kinds[first]
                     own = made.owner[at]
                     places = at[:, None] + np.arange(size)
                     ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * size)

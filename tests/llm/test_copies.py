@@ -280,3 +280,10 @@ def test_copies_of_items_full_of_numbers_and_names(spark):
     # windows that only copies can match don't count against a new fill of the rest
     item = "the cook puts a little salt into the pan and 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
     assert found_items(spark, [item], [item.replace(" 1 ", " 50 ").replace(" 3 ", " 70 ")]) == [1]
+
+
+def test_copies_in_other_case_or_wrapped_elsewhere(spark):
+    item = "If the farmer Alice buys 12 apples and sells 5 of them to Bob for 30 euro how much money does Alice have left after the sale"
+    other = item.replace("12", "77").replace("30", "90")
+    texts = [x for t in (item, other) for x in (t.lower(), t.upper().replace(" ", "  "), t.replace(" Alice", "\nAlice").replace(" Bob", "\nBob"))]
+    assert found_items(spark, [item], texts + ["if the farmer carol buys 12 apples"]) == [1] * 6 + [None]
