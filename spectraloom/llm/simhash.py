@@ -229,15 +229,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, component_id) for each different id: groups of texts whose sets of shingles of size words are at least least similar (Jaccard).
 
     One fingerprint of three bits' reach misses most pairs near that bound, so each text has views of them, over shingles of view_size words; links of any view
-    are candidates, and each is verified on the whole texts. component_id is the smallest id reachable over verified links, itself included. Texts with equal
-    fingerprints in all views are one node. Null and empty texts are similar to each other. Of rows that share an id one text stands for it;
+    are candidates, and each is verified on the whole texts. component_id is the smallest id reachable over verified links, itself included. Equal texts are one
+    node; texts with equal fingerprints are held against the first of them. Null and empty texts are similar to each other. Of rows that share an id one text stands for it;
     null ids are left out, as are other columns. VIEWS_AT_ONCE views are linked in a pass, so that only their shuffle is held at a time.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull()).withColumn("h", F.xxhash64("text"))
     fps = materialise(fingerprints(rows, "text", ("id", "h"), view_size, seed, views), "views")
     one = fps.groupBy("id").agg(F.min(F.struct("fps", "h")).alias("x")).select("id", "x.fps", "x.h")
     one = materialise(one, "views-by-id")
-    classes = materialise(one.groupBy("fps").agg(F.min(F.struct("id", "h")).alias("x")).select("fps", F.col("x.id").alias("node"), F.col("x.h").alias("h")), "classes")
+    classes = materialise(one.groupBy("h").agg(F.min(F.struct("id", "fps")).alias("x")).select("x.fps", F.col("x.id").alias("node"), "h"), "classes")
     pairs = None
     for first in range(0, views, VIEWS_AT_ONCE):
         own = classes.select("node", F.posexplode(F.slice("fps", first + 1, VIEWS_AT_ONCE)).alias("view", "fp"))
@@ -252,5 +252,5 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
     components = connected_components(both.mapInArrow(lambda parts: _similar(parts, size, least), "a bigint, b bigint"))
-    known = materialise(classes.join(components, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id")), "components")
-    return one.select("id", "fps").join(known, "fps").select(F.col("id").alias(id_col), "component_id")
+    known = materialise(classes.join(components, "node", "left").select("h", F.coalesce("component", "node").alias("component_id")), "components")
+    return one.select("id", "h").join(known, "h").select(F.col("id").alias(id_col), "component_id")

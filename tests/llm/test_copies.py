@@ -287,3 +287,13 @@ def test_copies_in_other_case_or_wrapped_elsewhere(spark):
     other = item.replace("12", "77").replace("30", "90")
     texts = [x for t in (item, other) for x in (t.lower(), t.upper().replace(" ", "  "), t.replace(" Alice", "\nAlice").replace(" Bob", "\nBob"))]
     assert found_items(spark, [item], texts + ["if the farmer carol buys 12 apples"]) == [1] * 6 + [None]
+
+
+def test_texts_with_equal_fingerprints_are_verified(spark):
+    def text(k, repeated, times, n):
+        return f"{repeated} " * times + " ".join(f"w{k}x{i}" for i in range(n))
+
+    texts = [text(k, "all rights to this text are reserved", 40, 100) for k in range(3)] + [text(k, "ha", 200, 150) for k in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0]])], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
