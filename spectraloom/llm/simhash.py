@@ -8,6 +8,7 @@ so both meet at each other's home. Fingerprints are compared anchor by anchor.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ BLOCK = 1024
 _SHINGLES = 1 << 16
 #: One in so many fingerprints is counted to find large anchors; that decides how members are dealt out and nothing else.
 COUNTED = 16
-#: Views that are linked in one pass.
-VIEWS_AT_ONCE = 4
+#: Texts of the sample in which common shingles are counted, how often they are met there, and the bits of their hashes that name them.
+COMMON_TEXTS = 5000
+COMMON_LEAST = 4
+COMMON_BITS = 22
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -225,32 +228,120 @@ def _similar(parts: Iterator[pa.RecordBatch], size: int, least: float) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, views: int = 16, view_size: int = 2, seed: int = 42) -> DataFrame:
-    """(id_col, component_id) for each different id: groups of texts whose sets of shingles of size words are at least least similar (Jaccard).
+def _hashed_set(text: str, size: int) -> np.ndarray:
+    """The different XXH64 values of the shingles of a text, ascending."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x) for x in shingles(text, size)], dtype=np.uint64))
 
-    One fingerprint of three bits' reach misses most pairs near that bound, so each text has views of them, over shingles of view_size words; links of any view
-    are candidates, and each is verified on the whole texts. component_id is the smallest id reachable over verified links, itself included. Equal texts are one
-    node; texts with equal fingerprints are held against the first of them. Null and empty texts are similar to each other. Of rows that share an id one text stands for it;
-    null ids are left out, as are other columns. VIEWS_AT_ONCE views are linked in a pass, so that only their shuffle is held at a time.
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+
+
+def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes that are common in a sample of about COMMON_TEXTS of rows (h, text), and their counts.
+
+    They order the shingles of a text, rare ones first; what is found doesn't depend on them, only how many texts meet for nothing.
+    """
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(_hashed_set(text, size))))], names=["place"])
+
+    share = min(1.0, COMMON_TEXTS / max(rows.count(), 1))
+    some = rows.where(F.pmod(F.xxhash64(F.lit("common"), "h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
+    counts = some.mapInArrow(batches, "place bigint").groupBy("place").count().where(F.col("count") >= COMMON_LEAST).orderBy("place").toArrow()
+    return counts.column("place").to_numpy(), counts.column("count").to_numpy()
+
+
+def _prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
+    """(id, h, node, n, prefix) of rows (id, h, text): a hash of the set of shingles, its size, and the part of it that one of each similar pair shares.
+
+    Two sets of which the larger has n members are least similar only if they have least * n in common, so if all sets are in one order
+    the first n - least * n + 1 of both have a member in common.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, size))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for batch in parts:
+            nodes, sizes, prefixes = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = _hashed_set(text, size)
+                n = len(hashes)
+                weights = np.zeros(n, dtype=np.int64)
+                if n and len(known):
+                    places = _places(hashes)
+                    at = np.minimum(np.searchsorted(known, places), len(known) - 1)
+                    weights = np.where(known[at] == places, counts[at], 0)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                sizes.append(n)
+                # equal weights stay in the order of hashes
+                prefixes.append(hashes[np.argsort(weights, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]].view(np.int64))
+            lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["id", "h", "node", "n", "prefix"])
+
+    return rows.mapInArrow(batches, "id bigint, h bigint, node bigint, n int, prefix array<bigint>")
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, h, component) for each different id and text, h being xxhash64 of the text: texts in one component are linked by pairs whose sets of
+    shingles of size words are at least least similar (Jaccard).
+
+    Every such pair is a candidate (prefix filter on the shingles), whatever the edit, and each is verified on the whole texts. Texts with equal sets are
+    one node. Null and empty texts are similar to each other. Texts that share a shingle of their prefixes are first held against one of them; then
+    pairs that this leaves in different components against each other, so that large groups of near copies cost no pairs of all with all. Unlike texts that
+    share a shingle which is rare elsewhere do: their pairs grow with the square of their number.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
+    made = materialise(_prefixes(rows, size, least), "prefixes")
+    sets = materialise(made.dropDuplicates(["node"]).select("node", "n", "prefix"), "shingle-sets")
+    places = sets.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = places.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high")).select("token")
+    places = materialise(places.join(materialise(shared, "shared-shingles"), "token", "left_semi"), "shared-places")
+
+    def side(c: str, table: DataFrame) -> DataFrame:
+        return table.select("token", *(F.col(x).alias(f"{x}_{c}") for x in table.columns if x != "token"))
+
+    # what two sets can have in common from here on, against what they need
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
+    enough = most * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where(enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ones = made.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
+        texts = materialise(rows.select("h", "text").join(ones, "h").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+        end = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
+        return materialise(both.mapInArrow(lambda parts: _similar(parts, size, least), "a bigint, b bigint"), "similar-pairs")
+
+    firsts = places.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x")).select("token", "x.*")
+    tried = materialise(ordered(side("a", places).join(side("b", firsts), "token").where("node_a != node_b")), "candidates")
+    links = verified(tried)
+    groups = materialise(connected_components(links), "first-components")
+    named = materialise(places.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "named-places")
+    mixed = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high")).select("token")
+    left = materialise(named.join(mixed, "token", "left_semi"), "mixed-places")
+    pairs = side("a", left).join(side("b", left), "token").where("node_a < node_b AND group_a != group_b")
+    rest = materialise(ordered(pairs).join(tried, ["a", "b"], "left_anti"), "more-candidates")
+    components = connected_components(links.unionByName(verified(rest)))
+    named = made.select("id", "h", "node").distinct().join(components, "node", "left")
+    return named.select("id", "h", F.coalesce("component", "node").alias("component"))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """(id_col, component_id) for each different id: groups of similar_texts, component_id being the smallest id reachable, itself included.
+
+    Of rows that share an id one text, the least hashed, stands for it; null ids are left out, as are other columns.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull()).withColumn("h", F.xxhash64("text"))
-    fps = materialise(fingerprints(rows, "text", ("id", "h"), view_size, seed, views), "views")
-    one = fps.groupBy("id").agg(F.min(F.struct("fps", "h")).alias("x")).select("id", "x.fps", "x.h")
-    one = materialise(one, "views-by-id")
-    classes = materialise(one.groupBy("h").agg(F.min(F.struct("id", "fps")).alias("x")).select("x.fps", F.col("x.id").alias("node"), "h"), "classes")
-    pairs = None
-    for first in range(0, views, VIEWS_AT_ONCE):
-        own = classes.select("node", F.posexplode(F.slice("fps", first + 1, VIEWS_AT_ONCE)).alias("view", "fp"))
-        firsts = materialise(own.groupBy("view", "fp").agg(F.min("node").alias("id")), "view-nodes")
-        same = own.join(firsts, ["view", "fp"]).where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
-        links = same.unionByName(link_fingerprints(firsts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialise(links, "view-links")
-        pairs = links if pairs is None else pairs.unionByName(links)
-    pairs = materialise(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select(F.col("node").alias("id"), "h"), "id")
-    texts = materialise(rows.join(wanted, ["id", "h"]).groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
-    end = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
-    components = connected_components(both.mapInArrow(lambda parts: _similar(parts, size, least), "a bigint, b bigint"))
-    known = materialise(classes.join(components, "node", "left").select("h", F.coalesce("component", "node").alias("component_id")), "components")
-    return one.select("id", "h").join(known, "h").select(F.col("id").alias(id_col), "component_id")
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull())
+    one = materialise(rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("id", "x.text"), "texts-by-id")
+    found = materialise(similar_texts(one, "id", "text", size, least), "similar-texts")
+    least_ids = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    return found.join(least_ids, "component").select(F.col("id").alias(id_col), "component_id")

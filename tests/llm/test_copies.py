@@ -297,3 +297,18 @@ def test_texts_with_equal_fingerprints_are_verified(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0]])], DOCS)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
+
+
+def test_similar_groups_whatever_the_edit(spark):
+    rnd = random.Random(8)
+    texts, near = [], []
+    for k in range(60):
+        words = [f"w{rnd.randrange(4000)}" for _ in range(200)]
+        block = [f"new{k}x{i}" for i in range(rnd.choice([20, 35, 45, 48]))]
+        at = rnd.choice([0, 100, 200])
+        texts += [" ".join(words), " ".join(words[:at] + block + words[at:])]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert len(near) > 40 and [got[i] for i in range(len(texts))] == components(len(texts), near)
