@@ -97,7 +97,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that have an earlier near copy."""
     from .linededup import drop_near_copies
 
-    return drop_near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return drop_near_copies(table(spark, sf_dir, "documents"), short_copies=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op7_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

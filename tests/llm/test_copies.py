@@ -312,3 +312,13 @@ def test_similar_groups_whatever_the_edit(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert len(near) > 40 and [got[i] for i in range(len(texts))] == components(len(texts), near)
+
+
+def test_copies_of_short_lines_go(spark, sf_dir):
+    rows = [(1, "All rights reserved.\n\nこの行は空白のない長い行です。\nAll  rights reserved."), (2, "\nこの行は空白のない長い行です。\nAll rights reserved now.\nAll rights reserved."), (3, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.drop_near_copies(docs, short_copies=True).collect()}
+    assert got == {1: ("All rights reserved.\n\nこの行は空白のない長い行です。", 1), 2: ("\nAll rights reserved now.", 2), 3: ("x", 0)}
+    # the query leaves no copy of a line, however short
+    kept = [x.split() for r in queries.op6_line_dedup(spark, sf_dir).dropDuplicates(["doc_id"]).collect() for x in (r.text or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+    assert len({" ".join(x) for x in kept}) > 0.99 * len(kept)
