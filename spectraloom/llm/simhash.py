@@ -298,7 +298,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
     made = materialise(_prefixes(rows, size, least), "prefixes")
-    sets = materialise(made.dropDuplicates(["node"]).select("node", "n", "prefix"), "shingle-sets")
+    sets = materialise(made.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-sets")
     places = sets.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     shared = places.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high")).select("token")
     places = materialise(places.join(materialise(shared, "shared-shingles"), "token", "left_semi"), "shared-places")
@@ -315,7 +315,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ones = made.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
+        ones = sets.select("node", "h").join(wanted, "node", "left_semi")
         texts = materialise(rows.select("h", "text").join(ones, "h").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
         end = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
