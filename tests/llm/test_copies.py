@@ -322,3 +322,13 @@ def test_copies_of_short_lines_go(spark, sf_dir):
     # the query leaves no copy of a line, however short
     kept = [x.split() for r in queries.op6_line_dedup(spark, sf_dir).dropDuplicates(["doc_id"]).collect() for x in (r.text or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
     assert len({" ".join(x) for x in kept}) > 0.99 * len(kept)
+
+
+def test_near_duplicate_stage_compares_rows_of_an_id_and_without_one(spark, sf_dir):
+    from corpus_pipeline import drop_near_duplicates
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(7, one), (7, two), (7, two), (8, two), (None, three), (None, three), (None, one), (None, "q r s t u v")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted([(7, one), (7, two), (None, three), (None, "q r s t u v")], key=str)
