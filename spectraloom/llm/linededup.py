@@ -1,6 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are near copies if their sequences of words are equal or one word apart (inserted, deleted or replaced). Each line emits its
+Two lines are near copies if their sequences of words are equal, or if both have LEAST_WORDS words or more and are one word apart (inserted, deleted
+or replaced): the edit bound is one word in eight. Each line emits its
 sequence and every variant with one word deleted as hashed keys; lines with an equal variant are joined, the edit is verified on
 the words, and of near copies the earliest line stays. Only lines that share a half with another line can have a near copy,
 so a join on hashed halves goes before, and only those emit variants.
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..tables import materialise
 
-#: Lines with fewer words have no near copies but equal ones.
+#: One word in so many may differ: of two lines one word apart both must have as many words. Shorter lines are copies of equal ones only.
 LEAST_WORDS = 8
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -31,10 +32,8 @@ def _without(words: Column, at: Column) -> Column:
     return F.when(at < 0, words).otherwise(F.concat(F.slice(words, F.lit(1), F.greatest(at, F.lit(0))), F.slice(words, F.greatest(at, F.lit(0)) + 2, F.size(words))))
 
 
-def _line_table(rows: DataFrame, least_words: int, short_copies: bool) -> DataFrame:
-    """A row for each line: its place, a hash of its words and three hashed halves; the hashes are null for short lines.
-
-    With short_copies only blank lines have no hash of their words, and short ones no halves.
+def _line_table(rows: DataFrame, least_words: int) -> DataFrame:
+    """A row for each line: its place, a hash of its words and three hashed halves; blank lines have no hashes, short ones no halves.
 
     A half is a prefix or suffix of n / 2 words, rounded both ways in such a manner that near copies, whose lengths differ by one
     at most, have the half without the edit in common.
@@ -52,8 +51,7 @@ def _line_table(rows: DataFrame, least_words: int, short_copies: bool) -> DataFr
     half, less = F.floor(n / 2), F.floor((n - 1) / 2)
     third = F.when(n % 2 == 0, suffix(half)).otherwise(prefix(half + 1))
     long = n >= least_words
-    hashed = words != F.array(F.lit("")) if short_copies else long
-    return parts.select("__id", "__h", "__line_no", F.when(hashed, F.xxhash64(words)).alias("__hash"), F.when(long, prefix(half)).alias("__k1"), F.when(long, suffix(less)).alias("__k2"), F.when(long, third).alias("__k3"), (n % 2 == 0).alias("__even"))
+    return parts.select("__id", "__h", "__line_no", F.when(words != F.array(F.lit("")), F.xxhash64(words)).alias("__hash"), F.when(long, prefix(half)).alias("__k1"), F.when(long, suffix(less)).alias("__k2"), F.when(long, third).alias("__k3"), (n % 2 == 0).alias("__even"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -110,18 +108,18 @@ def _near_copies(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFr
     return checked.where(_without(F.col("words"), F.col("at")) == _without(F.col("words_b"), F.col("at_b"))).select("hash").distinct()
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, short_copies: bool = False) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """df with the lines removed that have an earlier near copy in any text, and n_lines and n_dropped of each text.
 
-    Lines are parted at line feeds; words at ASCII white space; lines of fewer than least_words words always stay, but with short_copies they
-    go like others if an earlier line has equal words; blank lines stay. Lines are ordered by id (nulls last),
-    then a hash of the text, then their place. A line goes if any earlier line, itself kept or not, is equal or one word apart. Rows that
+    Lines are parted at line feeds, words at ASCII white space. Lines of fewer than least_words words, as those in scripts without blanks,
+    go if an earlier line has equal words; others also if an earlier one of least_words words or more is one word apart; blank lines stay. Lines are ordered by id (nulls last),
+    then a hash of the text, then their place. A line goes by any earlier line, itself kept or not. Rows that
     repeat both id and text are the same text and keep the same lines. A null text stays null with no lines; an empty one has one short line. A text that loses
     all lines becomes empty; its row stays. Other columns pass through; n_lines and n_dropped replace columns of these names.
     """
     rows = df.withColumns({"__id": F.col(id_col), "__text": F.col(text_col), "__h": F.xxhash64(F.col(text_col))})
     texts = rows.select("__id", "__h", "__text")
-    lines = materialise(_line_table(texts, least_words, short_copies), "lines")
+    lines = materialise(_line_table(texts, least_words), "lines")
     place = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__line_no").alias("line_no"))
     long = lines.where(F.col("__hash").isNotNull())
     firsts = materialise(long.groupBy(F.col("__hash").alias("hash")).agg(F.min(place).alias("first")), "first-lines")

@@ -47,10 +47,10 @@ def plain_line_dedup(rows):
         kept = []
         for line in text.split("\n"):
             words = re.split("[ \t\r\x0b\x0c]+", line.strip(" \t\r\x0b\x0c"))
-            if len(words) < linededup.LEAST_WORDS:
+            if words == [""]:
                 kept.append(line)
                 continue
-            if not any(word_distance_at_most_one(words, x) for x in seen):
+            if not any(words == x or min(len(words), len(x)) >= linededup.LEAST_WORDS and word_distance_at_most_one(words, x) for x in seen):
                 kept.append(line)
             seen.append(words)
         out[i, h] = "\n".join(kept)
@@ -59,16 +59,16 @@ def plain_line_dedup(rows):
 
 def test_lines_against_all_pairs(spark):
     rnd = random.Random(3)
-    base = [[rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(rnd.randint(7, 11))] for _ in range(12)]
+    base = [[rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(n)] for n in (*range(1, 13), *range(7, 12))]
     rows = []
-    for i in range(60):
+    for i in range(90):
         lines = []
         for _ in range(rnd.randint(0, 4)):
             w = list(rnd.choice(base))
             for _ in range(rnd.randint(0, 2)):
                 k = rnd.randrange(len(w))
-                rnd.choice([lambda: w.insert(k, "new"), lambda: w.pop(k), lambda: w.__setitem__(k, "other")])()
-            lines.append(rnd.choice([" ", "\t", "  "]).join(w))
+                rnd.choice([lambda: w.insert(k, "new"), lambda: len(w) > 1 and w.pop(k), lambda: w.__setitem__(k, "other")])()
+            lines.append(rnd.choice(["", "", " ", "\u3000 "]) + rnd.choice([" ", "\t", "  "]).join(w))
         rows.append((i, "\n".join(lines), "en", "s", 1))
     rows += [(None, " ".join(base[0]), None, None, None), (500, None, "en", "s", 1), (501, "", "en", "s", 1), (7, "\n".join([" ".join(base[1])] * 2), "en", "s", 1), rows[5], (502, " ".join(f"w{i}" for i in range(20_000)), "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"n_lines": F.lit("x"), "key": F.lit(1), "hash": F.lit(1), "kept": F.lit(2)})
@@ -317,7 +317,7 @@ def test_similar_groups_whatever_the_edit(spark):
 def test_copies_of_short_lines_go(spark, sf_dir):
     rows = [(1, "All rights reserved.\n\nこの行は空白のない長い行です。\nAll  rights reserved."), (2, "\nこの行は空白のない長い行です。\nAll rights reserved now.\nAll rights reserved."), (3, "x")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
-    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.drop_near_copies(docs, short_copies=True).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.drop_near_copies(docs).collect()}
     assert got == {1: ("All rights reserved.\n\nこの行は空白のない長い行です。", 1), 2: ("\nAll rights reserved now.", 2), 3: ("x", 0)}
     # the query leaves no copy of a line, however short
     kept = [x.split() for r in queries.op6_line_dedup(spark, sf_dir).dropDuplicates(["doc_id"]).collect() for x in (r.text or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
