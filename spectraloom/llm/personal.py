@@ -28,6 +28,8 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Loose forms: an address without a dot or with a spelt-out at sign, and any number of 7 to 20 digits.
 LOOSE_EMAIL = rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}(?:@| ?[\[(]at[\])] ?){_LABEL}{{1,63}}(?: ?(?:\.|[\[(]dot[\])]) ?{_LABEL}{{1,63}}){{0,8}}(?!{_LABEL})"
 LOOSE_NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().:-]{0,2}[0-9]){6,19}(?![0-9A-Za-z])"
+#: Members of a block of running sums.
+STEP = 128
 
 
 def _digits(x: Column) -> Column:
@@ -50,22 +52,45 @@ def _context(piece: Column) -> Column:
     return F.lower(F.regexp_extract(F.right(piece, F.lit(80)), r"(?:\S+\s+)?\S+\s*$", 0))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _running(x: Column, zero: Column, levels: int = 2) -> Column:
+    """Sums of what stands before each member of an array.
+
+    Blocks of STEP members are summed, their sums run in the same way, and each block goes on from there. Growing an array copies it, so
+    only blocks and the last level's sums, a few members up to millions of them, are grown one by one.
+    """
+
+    def grown(values: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.slice(F.array(zero), 1, 0).alias("made"))
+        step = lambda state, v: F.struct((state["at"] + v).alias("at"), F.concat(state["made"], F.array(state["at"])).alias("made"))
+        return F.aggregate(values, empty, step, lambda state: state["made"])
+
+    if not levels:
+        return grown(x, zero)
+    numbers = lambda v: F.slice(F.sequence(F.lit(0), F.ceil(F.size(v) / STEP).cast("int")), F.lit(1), F.ceil(F.size(v) / STEP).cast("int"))
+    cut = lambda v: F.transform(numbers(v), lambda b: F.slice(v, b * STEP + 1, F.lit(STEP)))
+    total = lambda block: F.aggregate(block, zero, lambda sum_, v: sum_ + v)
+    joined = lambda blocks: F.flatten(F.zip_with(blocks, _running(F.transform(blocks, total), zero, levels - 1), grown))
+    return _let(x, lambda v: _let(cut(v), joined))
+
+
 def _matches(text: Column, pattern: str, gate: Column) -> Column:
     """array<struct<start, end, value, left>> of the matches of a pattern, in code points; the end is exclusive.
 
     Matches and the pieces between them alternate, so running sums of their lengths give the places.
     """
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("value"), p.alias("piece")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string>>").alias("made"))
+    pairs = _let(found, lambda m: F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda v, p: F.struct(v.alias("value"), F.length(p).alias("before"), F.length(v).alias("n"), _context(p).alias("left"))))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        made = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), _context(x["piece"]).alias("left"))
-        return F.struct(end.alias("at"), F.concat(state["made"], F.array(made)).alias("made"))
+    def placed(pair: Column) -> Column:
+        ends = _running(F.transform(pair, lambda x: x["before"] + x["n"]), F.lit(0))
+        return F.zip_with(pair, ends, lambda x, at: F.struct((at + x["before"]).alias("start"), (at + x["before"] + x["n"]).alias("end"), x["value"].alias("value"), x["left"].alias("left")))
 
-    spans = F.when(gate & F.rlike(text, F.lit(pattern)), F.aggregate(pairs, empty, step, lambda state: state["made"]))
+    spans = F.when(gate & F.rlike(text, F.lit(pattern)), _let(pairs, placed))
     return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,value:string,left:string>>"))
 
 
@@ -86,6 +111,30 @@ def _seeds(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(kind, *x) for kind, x in enumerate(strict))))
 
 
+def _apart(spans: Column, seeds: Column) -> Column:
+    """The spans that overlap no seed.
+
+    Ends of seeds, ends of spans, starts of seeds and starts of spans are put in one order, in which running counts give the seeds that start
+    before a span's end and those that end before its start: the difference is how many overlap it.
+    """
+    many = 1 << 32  # starts are counted above this, ends below
+
+    def event(at: Column, order: int, n: int, index: Column | None = None) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(order).alias("order"), F.lit(n).cast("bigint").alias("n"), (F.lit(-1) if index is None else index).cast("int").alias("index"))
+
+    def counted(own: Column) -> Column:
+        seen = F.concat(F.transform(seeds, lambda s: event(s["end"], 0, 1)), F.transform(seeds, lambda s: event(s["start"], 2, many)), F.transform(own, lambda x, i: event(x["end"], 1, 0, i)), F.transform(own, lambda x, i: event(x["start"], 3, 0, i)))
+
+        def looked_up(events: Column) -> Column:
+            sums = F.zip_with(events, _running(F.transform(events, lambda e: e["n"]), F.lit(0).cast("bigint")), lambda e, n: F.struct(e["index"].alias("index"), e["order"].alias("order"), n.alias("n")))
+            # of each span first what its end saw, then what its start saw
+            return _let(F.array_sort(F.filter(sums, lambda e: e["index"] >= 0)), lambda both: F.filter(own, lambda x, i: F.shiftright(F.get(both, 2 * i)["n"], 32) == F.get(both, 2 * i + 1)["n"].bitwiseAND(F.lit(many - 1).cast("bigint"))))
+
+        return _let(F.array_sort(seen), looked_up)
+
+    return F.when((F.size(spans) == 0) | (F.size(seeds) == 0), spans).otherwise(_let(spans, counted))
+
+
 def _loose(text: Column, seeds: Column) -> Column:
     """Spans of the loose grammars that overlap no seed; numeric says which grammar."""
 
@@ -93,8 +142,7 @@ def _loose(text: Column, seeds: Column) -> Column:
         return F.transform(_matches(text, pattern, gate), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(numeric).alias("numeric"), x["value"].alias("value"), x["left"].alias("left")))
 
     spans = of(False, LOOSE_EMAIL, F.rlike(text, F.lit(r"@|[\[(]at[\])]"))), of(True, LOOSE_NUMBER, F.rlike(text, F.lit("[0-9]")))
-    apart = lambda x: ~F.exists(seeds, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    return F.filter(F.concat(*spans), apart)
+    return _let(F.concat(*spans), lambda x: _apart(x, seeds))
 
 
 def _patterns(left: Column) -> Column:

@@ -3,8 +3,11 @@
 import base64
 import gzip
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 from urllib.parse import urlparse
 
 import pytest
@@ -80,6 +83,114 @@ def test_mixed_patterns_are_not_trusted(spark):
     assert {r.doc_id: r.spans for r in found(spark.createDataFrame(rows, DOCS))}[99] == ""
 
 
+def spans_with_context(pattern, text):
+    """(start, end, value, context) of all matches; the context is the last two words between the match before and this one."""
+    out, at = [], 0
+    for m in re.finditer(pattern, text):
+        left = re.search(r"(?:\S+\s+)?\S+\s*$", text[at : m.start()][-80:], re.ASCII)
+        out.append((m.start(), m.end(), m[0], left[0].lower() if left else ""))
+        at = m.end()
+    return out
+
+
+def patterns_of(left):
+    words = left.split()
+    return {("1", words[-1]), ("2", " ".join(words))} if words else set()
+
+
+def plain_discovery(rows, least_seeds=3, least_share=0.6, rounds=3):
+    """{(id, text): spans} by scoring the graph of patterns and instances with dictionaries."""
+    texts, edges = {}, {}
+    for key in {(i, t or "") for i, t in rows}:
+        strict = {tuple(x.split(":")) for x in plain_spans(key[1]).split(",") if x}
+        seeds = []
+        for kind, (name, grammar) in enumerate(GRAMMARS.items()):
+            seeds += [(a, kind, b, v, left) for a, b, v, left in spans_with_context(grammar, key[1]) if (name, str(a), str(b)) in strict]
+        loose = [(a, b, numeric, v, left) for numeric, p in ((False, personal.LOOSE_EMAIL), (True, personal.LOOSE_NUMBER)) for a, b, v, left in spans_with_context(p, key[1])]
+        loose = [x for x in loose if not any(s[0] < x[1] and x[0] < s[2] for s in seeds)]
+        texts[key] = seeds, loose
+        for numeric, v, left, kind in [(k > 0, v, left, k) for _, k, _, v, left in seeds] + [(n, v, left, 9) for _, _, n, v, left in loose]:
+            for p in patterns_of(left):
+                edges[p, numeric, v] = min(kind, edges.get((p, numeric, v), 9))
+    known = {}
+    for (_, numeric, v), kind in edges.items():
+        if kind < 9:
+            known[v, numeric] = min(kind, known.get((v, numeric), 9))
+    trusted = {}
+    for _ in range(rounds):
+        counts = {}
+        for p, numeric, v in edges:
+            total = counts.setdefault((p, numeric), [0.0, [0] * 4])
+            total[0] += 1.0 if (v, numeric) in known else 0.5
+            if (v, numeric) in known:
+                total[1][known[v, numeric]] += 1
+        trusted = {k: (n.index(max(n)), max(n) / total) for k, (total, n) in counts.items() if max(n) >= least_seeds and max(n) >= least_share * total}
+        doubt = {}
+        for p, numeric, v in edges:
+            if (v, numeric) not in known and (p, numeric) in trusted:
+                kind, share = trusted[p, numeric]
+                doubt.setdefault((v, numeric), {}).setdefault(kind, []).append(share)
+        new = {}
+        for key, by_kind in doubt.items():
+            belief = {k: 1 - math.prod(max(1 - x, 1e-9) for x in shares) for k, shares in by_kind.items()}
+            good = [(b, -k) for k, b in belief.items() if b >= least_share]
+            if good:
+                new[key] = -max(good)[1]
+        if not trusted or not new:
+            break
+        known |= new
+    out = {}
+    for key, (seeds, loose) in texts.items():
+        spans = [(a, k, b) for a, k, b, *_ in seeds]
+        for a, b, numeric, _, left in loose:
+            votes = [(trusted[p, numeric][1], -trusted[p, numeric][0]) for p in patterns_of(left) if (p, numeric) in trusted]
+            if votes:
+                spans.append((a, -max(votes)[1], b))
+        out[key] = ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_discovery_against_a_plain_graph(spark, seed):
+    rnd = random.Random(seed)
+    forms = ["+1 (234) 555-{:04d}", "10.0.{}.7", "a{}@b.example.com", "555 {:04d} 123", "a{} [at] host [dot] org", "4111-1111-1111-11{:02d}", "a{}@intranet", "ref 12345{:04d}"]
+    leads = ["call", "please dial", "mail to", "write to", "host", "server at", "the", "pay with card", "fax:", "Tel", "id"]
+    rows = []
+    for i in range(150):
+        parts = [f"{rnd.choice(leads)} {rnd.choice(forms[k::4] if k < 4 else forms).format(rnd.randint(0, 40))}" for k in (rnd.randint(0, 6) for _ in range(rnd.randint(0, 6)))]
+        rows.append((i, rnd.choice([" ", " and ", "\n", ", "]).join(parts)))
+    rows += [(None, rows[3][1]), (5, rows[5][1]), (900, None), (901, "")]
+    want = plain_discovery(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = found(docs)
+    assert len(got) == len(rows) and sum(r.spans != r.seeds for r in got) > 10
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, t or "")
+    assert all(r.spans == want[r.doc_id, texts[r.doc_id]] for r in got)
+
+
+def test_time_follows_the_matches_of_a_text(spark):
+    def seconds(n):
+        text = " ".join(f"mail user{i}@host{i % 97}.example.com or 555 {1000 + i} {i:04d}" for i in range(n))
+        began = time.time()
+        row = personal.find_personal_data(spark.createDataFrame([(1, text, "en", "s", 0)], DOCS)).select(F.size("seeds").alias("n"), F.get("seeds", F.lit(n - 1)).alias("x")).first()
+        start = text.index(f"user{n - 1}@")
+        assert row.n >= n and (row.x.start == start or row.n > n)
+        return time.time() - began
+
+    seconds(1000)
+    # eight times the matches: 64 times the time if it grew with the square
+    assert seconds(160_000) <= 24 * max(1.0, seconds(20_000))
+
+
+def test_running_sums(spark):
+    for n in (0, 1, personal.STEP - 1, personal.STEP, personal.STEP + 1, 3 * personal.STEP**2 + 5):
+        values = F.slice(F.sequence(F.lit(3), F.lit(n + 3)), F.lit(1), F.lit(n))
+        got = spark.range(1).select(personal._running(values, F.lit(0).cast("bigint")).alias("x")).first().x
+        assert got == [0, *itertools.accumulate(range(3, n + 2))][:n]
+
+
 PAGES = "page_id bigint, url string, html string"
 
 
