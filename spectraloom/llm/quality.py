@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialise
 from .langid import sums
 from .shared import MIXED, SpanHasher, finish, sampled, slices, word_bounds
 
@@ -102,12 +103,13 @@ def _train(rows: list[tuple[int, float, np.ndarray, np.ndarray]], bits: int, epo
     return QualityModel(final[:-1].astype(np.float32), float(final[-1]), bits)
 
 
-def fit(labelled_texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 16, rows_per_label: int = 2500, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> QualityModel:
+def fit(labelled_texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 16, rows_per_label: int = 2500, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, most_pairs: int = 1 << 24) -> QualityModel:
     """Fits on at most about rows_per_label rows of each label; rows of a thinned label weigh accordingly more.
 
     labels may hold nulls (left out) and repeated ids (the lowest label counts); of texts that share an id one is learnt. The sampled labels, a bounded number of rows, are
-    broadcast to the texts; the sparse rows of the sample, at most 2^bits numbers each, come to the driver, where the
-    updates run in an order fixed by the ids. Without any label the model scores 0.5.
+    broadcast to the texts; the sparse rows of the sample come to the driver, where the
+    updates run in an order fixed by hashes of the ids. Of rows that together have more than most_pairs features (8 bytes each, so 128 MB), which takes
+    labelled texts of over 3,000 different features on average, only the first in this order are learnt. Without any label the model scores 0.5.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     totals = dict(known.groupBy("__label").count().collect())
@@ -134,7 +136,13 @@ def fit(labelled_texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(2).slice(start, end - start), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["id", "label", "at", "value"])
 
     kind = labels.schema[id_col].dataType.simpleString()
-    rows = texts.select("__id", "__text", "__label").mapInArrow(sparse, f"id {kind}, label int, at array<int>, value array<float>").groupBy("id", "label").agg(F.min(F.struct("at", "value")).alias("x")).select("id", "label", "x.*").orderBy(F.xxhash64("id"), "id").toArrow()
+    made = texts.select("__id", "__text", "__label").mapInArrow(sparse, f"id {kind}, label int, at array<int>, value array<float>")
+    made = materialise(made.groupBy("id", "label").agg(F.min(F.struct("at", "value")).alias("x")).select(F.xxhash64("id").alias("place"), "id", "label", "x.*"), "sparse-rows")
+    sizes = made.select("place", F.size("at").alias("n")).orderBy("place").toArrow()
+    over = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) > most_pairs)
+    if len(over):
+        made = made.where(F.col("place") < F.lit(int(sizes.column("place").to_numpy()[over[0]])))
+    rows = made.orderBy("place", "id").toArrow()
     mine = rows.column("label").to_numpy()
     share = {k: totals[k] / max(1, int((mine == k).sum())) for k in totals}
     mean = sum(share[k] * int((mine == k).sum()) for k in totals) / max(1, len(mine))

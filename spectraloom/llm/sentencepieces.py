@@ -179,8 +179,8 @@ class Model:
             where += [at] * len(mark)
         return bytes(out), np.array([*where, at], dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids, first bytes and end bytes of the pieces of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """Ids, first bytes and end bytes of the pieces of each text; no places where the pieces don't cover the normalised bytes."""
         made = []
         for text, ids in zip(texts, self.library.encode(texts, num_threads=1), strict=True):
             ids = np.array(ids, dtype=np.int32)
@@ -190,9 +190,10 @@ class Model:
             if self.unknown is not None and (ids == self.unknown).any():
                 width = np.array([len(x.encode()) for x in self.library.encode(text, out_type=str)], dtype=np.int64)
             ends = np.cumsum(width)
-            if len(ids) and ends[-1] != len(normal):
-                raise ValueError(f"the pieces cover {ends[-1]} of {len(normal)} normalised bytes")
-            made.append((ids, at[ends - width].astype(np.int32), at[ends].astype(np.int32)))
+            if (ends[-1] if len(ids) else 0) == len(normal):
+                made.append((ids, at[ends - width].astype(np.int32), at[ends].astype(np.int32)))
+            else:
+                made.append((ids, None, None))
         return made
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -204,9 +205,11 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], type=pa.int32()))
+def _lists(parts: list[np.ndarray | None]) -> pa.ListArray:
+    there = [np.zeros(0, dtype=np.int32) if x is None else x for x in parts]
+    offsets = np.cumsum([0, *map(len, there)]).astype(np.int32)
+    gone = pa.array([x is None for x in parts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(there) if there else [], type=pa.int32()), mask=gone)
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
@@ -214,7 +217,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[s
 
     One row for each row of df, repeated rows and rows with a null in keep included. A null text counts as empty and has no
     pieces. A text without special bytes of any kind and of any length is encoded as a whole. Columns that aren't in keep are
-    left out, so none can clash. decoded is null with decode=False. Each row is worked on by itself: no shuffle.
+    left out, so none can clash. begins and ends are null if the pieces don't cover the normalised text. decoded is null with decode=False. Each row is worked on by itself: no shuffle.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

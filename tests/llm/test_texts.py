@@ -1,6 +1,9 @@
 """Encoding, language, quality and token counts."""
 
 import hashlib
+import math
+import random
+import zlib
 
 import numpy as np
 import pytest
@@ -68,6 +71,60 @@ def test_longest_prefix_rules_and_squeezing():
     assert Plain().normalise(b"   ")[0] == b""
 
 
+def message(fields):
+    """A protocol buffer message of length-delimited fields."""
+
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out += bytes([n & 0x7F | 0x80])
+            n >>= 7
+        return out + bytes([n])
+
+    return b"".join(varint(number << 3 | 2) + varint(len(value)) + value for number, value in fields)
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+def test_character_maps_against_the_library(spark, tmp_path, rule):
+    import sentencepiece
+
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    rules = dict(sentencepieces._fields(normaliser.serialized_model_proto()))[3]
+    with open(MODEL, "rb") as file:
+        parts = [(k, v) for k, v in sentencepieces._fields(file.read()) if isinstance(v, bytes) and k != 3]
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as file:
+        file.write(message([*parts, (3, rules)]))
+    model, library = sentencepieces.Model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert bool(model.map.units) == (rule != "identity") and not model.plain
+    rnd = random.Random(rule)
+    alphabet = ["ａ", "Ｂ", "ﬁ", "㍿", "①", "½", "é", "e\u0301", "\u0301", " ", "  ", "\u3000", "\t", "\n", "\u200b", "\ufeff", "한", "ㄱ", "ｶﾞ", "ß", "İ", "Σ", "x", "Yz", "😀", "\u00a0", "ﷺ", "№", "～", "\x00", "\x7f"]
+    texts = ["", " ", "plain text", *("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(300))]
+    for text in texts:
+        normal, at = model.normalise(text.encode())
+        want, offsets = library.normalize(text, with_offsets=True)
+        assert normal.decode() == want
+        ids, begins, ends = model.encode([text])[0]
+        assert ids.tolist() == library.encode(text)
+        assert begins is not None and all(begins <= ends) and begins[1:].tolist() == ends[:-1].tolist()
+        # the library's offsets are those of characters; they agree wherever a normalised character begins
+        chars = np.cumsum([0, *(len(c.encode()) for c in want)])
+        places = np.cumsum([0, *(len(c.encode()) for c in text)])
+        assert [int(at[i]) for i in chars] == [int(places[k]) for k in offsets]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    rows = sentencepieces.encode(docs, path, keep=("text",)).collect()
+    assert len(rows) == len(texts) and all(list(r.ids) == library.encode(r.text) for r in rows)
+
+
+def test_texts_whose_pieces_do_not_cover_them_have_no_places(spark, awkward, monkeypatch):
+    monkeypatch.setattr(sentencepieces.Model, "normalise", lambda self, data: (data + b"x", np.zeros(len(data) + 2, dtype=np.int64)))
+    model = sentencepieces.Model(MODEL)
+    ids, begins, ends = model.encode(["one text"])[0]
+    assert len(ids) and begins is None and ends is None
+    lists = sentencepieces._lists([begins, np.array([1, 2], dtype=np.int32), None, np.zeros(0, dtype=np.int32)])
+    assert lists.to_pylist() == [None, [1, 2], None, []]
+
+
 def test_double_array_trie():
     import struct
 
@@ -98,6 +155,44 @@ def test_language_edge_cases(spark, awkward):
         langid.fit(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang")), F.col("doc_id"), most_languages=3)
 
 
+def plain_buckets(text, bits):
+    """The bucket of each n-gram, one after another."""
+    points = [ord(c) if c.isalpha() else 32 for c in f"  {text.lower()} "] + [32, 32]
+    out = []
+    for n in langid.LENGTHS:
+        for k in range(len(text.lower()) + 3):
+            gram = points[k : k + n]
+            if any(p != 32 for p in gram):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for p in gram:
+                    h = (h ^ p) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append((h * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - bits)
+    return out
+
+
+def test_language_against_plain_counts(spark, sf_dir):
+    docs = [(r.doc_id, r.text, r.lang) for r in queries.table(spark, sf_dir, "documents").collect()]
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, sf_dir).collect()}
+    counts, rows = {}, {}
+    for i, text, lang in docs:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+            rows[lang] = rows.get(lang, 0) + 1
+            counts.setdefault(lang, np.zeros(1 << 15))
+            np.add.at(counts[lang], plain_buckets(text, 15), 1)
+    for i, text, _ in docs:
+        buckets = plain_buckets(text or "", 15)
+        logs = {k: math.log(rows[k] / sum(rows.values())) + sum(math.log((c[b] + 0.1) / (c.sum() + 0.1 * (1 << 15))) for b in buckets) for k, c in counts.items()}
+        best = max(logs.values())
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        assert logs[got[i].lang_pred] >= best - 1e-3
+        # the matrix holds single precision, so a sum over n grams is good to about n * 1e-6
+        assert got[i].score == pytest.approx(1 / sum(math.exp(x - best) for x in logs.values()), abs=1e-6 * max(10, len(buckets)))
+
+
 def test_ngrams_stay_inside_texts():
     one, n, letters = langid.ngrams(["abc", "", "12", "xyz"], 15)
     parts = [langid.ngrams([t], 15)[0] for t in ("abc", "", "12", "xyz")]
@@ -120,6 +215,62 @@ def test_quality_edge_cases(spark, awkward):
     assert {r.quality_score for r in quality.score(awkward, blank).collect()} == {0.5}
 
 
+def plain_model(examples, bits, epochs=4, alpha=0.3, beta=1.0, l1=1e-4, l2=1e-3):
+    """FTRL-proximal, coordinate by coordinate: examples are (label, weight, {place: value}); gives a function from features to a score."""
+    z, n = {}, {}
+
+    def weight(i):
+        lam = 0 if i == 1 << bits else l1
+        held = z.get(i, 0.0)
+        return 0.0 if abs(held) <= lam else -(held - math.copysign(lam, held)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for label, importance, row in examples:
+            w = {i: weight(i) for i in row}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in row.items())))
+            for i, x in row.items():
+                g = importance * (p - label) * x
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return lambda row: 1 / (1 + math.exp(-sum(weight(i) * x for i, x in row.items())))
+
+
+def test_quality_against_plain_updates(spark, sf_dir):
+    docs = {r.doc_id: r.text or "" for r in queries.table(spark, sf_dir, "documents").collect()}
+    labels = {r.doc_id: r.quality for r in queries.table(spark, sf_dir, "labels").orderBy(F.xxhash64("doc_id")).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+
+    def row(text):
+        families, counts = quality.features([text], 16)
+        out = {1 << 16: 1.0}
+        for scale, buckets in zip(quality.SCALES, families):
+            for b in buckets.tolist():
+                out[b] = out.get(b, 0.0) + scale / max(1, counts[0])
+        return out
+
+    known = [(k, labels[i], row(docs[i])) for k, i in enumerate(labels) if i in docs]
+    n = {k: sum(x[1] == k for x in known) for k in (0, 1)}
+    # no label is thinned here, so all rows weigh the same
+    score = plain_model([(label, 1.0, r) for _, label, r in known], 16)
+    got = {r.doc_id: r for r in queries.op3_quality(spark, sf_dir).collect()}
+    assert min(n.values()) > 5 and len(got) == len(docs)
+    for i, text in docs.items():
+        assert got[i].score == pytest.approx(score(row(text)), abs=2e-6) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_quality_bounds_what_it_learns_from(spark, awkward):
+    labels = spark.createDataFrame([(1, 1, None), (6, 0, 0), (7, 0, 0), (9, 1, 0)], "doc_id bigint, quality int, toxic int")
+    whole, some, none = (quality.fit(awkward, labels, most_pairs=n) for n in (1 << 24, 20, 1))
+    assert np.count_nonzero(some.weights) < np.count_nonzero(whole.weights) and not np.count_nonzero(none.weights)
+
+
+def test_predictions_on_an_empty_table(spark, awkward):
+    labels = spark.createDataFrame([(1, 1, None), (6, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality.score(awkward.limit(0), quality.fit(awkward, labels)).count() == 0
+    assert langid.predict(awkward.limit(0), langid.fit(awkward, F.col("doc_id"))).count() == 0
+    assert sentencepieces.decode(sentencepieces.encode(awkward.limit(0), MODEL), MODEL).count() == 0
+
+
 def test_quality_features_stay_inside_texts():
     texts = ["One TWO!! two", "", "three three"]
     together, counts = quality.features(texts, 16)
