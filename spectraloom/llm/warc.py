@@ -48,6 +48,15 @@ def _opened(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _put(store: FileSystem, hidden: str, name: str) -> None:
+    """Renames a finished archive; one that an earlier run of the task has left is replaced, also in stores that don't rename onto a file."""
+    try:
+        store.move(hidden, name)
+    except OSError:
+        store.delete_file(name)
+        store.move(hidden, name)
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 4) -> DataFrame:
     """Writes a record for each row and returns the archives as a table of (path, bytes, records).
 
@@ -79,7 +88,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     size += len(made)
                     n += 1
         if n:
-            store.move(hidden, f"{root}/{part}")
+            _put(store, hidden, f"{root}/{part}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{part}"]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
         else:
             store.delete_file(hidden)
@@ -179,11 +188,15 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
         at = _next_start(source, found[1], end)
 
 
-def read_archives(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
+#: Bytes of a range that one task reads.
+SPLIT = 128 << 20
+
+
+def read_archives(archives: DataFrame, split_bytes: int = SPLIT, with_payload: bool = True) -> DataFrame:
     """The records of archives (path, bytes): one row each, in RECORD's columns; payload is null for revisits or without with_payload.
 
     For responses payload_bytes and payload_digest (bare base32 SHA-1) come from the payload read, for revisits from the headers. Archives that are
-    empty give no rows. Ranges are dealt one to a task whatever their archive, so a large archive is read by many tasks.
+    empty give no rows. Ranges are put in order and dealt one to a task whatever their archive, so a large archive is read by many tasks and none by two.
     """
     schema = RECORD
 
@@ -201,8 +214,12 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20, with_payload:
                     yield _batch(rows)
 
     ranges = archives.where(F.col("bytes") > 0).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")).select("path", "start", (F.col("start") + split_bytes).alias("end"))
-    n = ranges.count()
-    return ranges.repartition(max(1, n), "path", "start").mapInArrow(read, schema)
+    return deal(ranges).mapInArrow(read, schema)
+
+
+def deal(ranges: DataFrame) -> DataFrame:
+    """Rows (path, start, ...) of different places in partitions of one row each: by order, as hashes would put several into one."""
+    return ranges.repartitionByRange(max(1, ranges.count()), "path", "start")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -230,6 +230,35 @@ def test_archives_edge_cases(spark):
     assert warc.read_archives(none).count() == 0
 
 
+def test_each_range_has_a_task_of_its_own(spark):
+    ranges = spark.range(130).select(F.concat(F.lit("file:///a/part-"), (F.col("id") % 7).cast("string")).alias("path"), (F.col("id") * 1000).alias("start"))
+    sizes = [r.n for r in warc.deal(ranges).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sizes == [1] * 130
+
+
+def test_a_task_that_runs_again_replaces_its_archive(spark, tmp_path):
+    store, root = warc._opened(f"file://{tmp_path}")
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], PAGES).coalesce(1)
+    first = warc.write_archives(df, f"file://{tmp_path}/w").collect()
+    again = warc.write_archives(df, f"file://{tmp_path}/w")
+    assert [r.path for r in first] == [r.path for r in again.collect()] and warc.read_archives(again).count() == 20
+
+    class NoOverwrite:
+        """A store that doesn't rename onto a file."""
+
+        def move(self, a, b):
+            if store.get_file_info(b).is_file:
+                raise OSError("file exists")
+            store.move(a, b)
+
+        delete_file = store.delete_file
+
+    for name, text in (("new", b"new"), ("old", b"old")):
+        (tmp_path / name).write_bytes(text)
+    warc._put(NoOverwrite(), f"{root}/new", f"{root}/old")
+    assert (tmp_path / "old").read_bytes() == b"new" and not (tmp_path / "new").exists()
+
+
 def test_broken_members_are_passed_over(tmp_path):
     record = warc._record("response", 1, "u", b"payload", 7, "D", None, "2000-01-01T00:00:00Z", 6)
     other = warc._record("response", 2, "u", b"more", 4, "D", None, "2000-01-01T00:00:00Z", 6)
