@@ -2,7 +2,9 @@
 
 Unit vectors are projected at random to eight dimensions, once for each table, and decoded to the nearest point of the E8 lattice. Every
 vector is stored in the cell it falls into and looks itself up there and in the neighbouring cells that are nearest to it; pairs that meet in some
-table, and lie on the same side of most random hyperplanes, are verified by cosine in double precision.
+table, and lie on the same side of most random hyperplanes, are verified by cosine in double precision. Cells with many vectors are
+dealt out as pairs of blocks and verified by matrix products, from which only counts and connecting links leave, so that groups of near vectors
+never become a table of pairs.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -52,11 +55,23 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], whole, half)
 
 
+#: Bits of a key below its table's number, so that keys of earlier tables are smaller.
+KEY_BITS = 57
+MOST_TABLES = 1 << 63 - KEY_BITS
+#: Cells in which so many pairs meet, or more, are large; they are found by counting one vector in COUNTED, which decides how they are compared and nothing else.
+LARGE = 1 << 18
+COUNTED = 16
+#: Members of a block of a large cell, at least and at most: an eighth of the cell between these bounds.
+BLOCK = (512, 8192)
+#: Pairs looked at in one go inside a block.
+_PAIRS = 1 << 17
+
+
 def _key(cells: np.ndarray, table: int, size: int) -> np.ndarray:
-    out = np.full(cells.shape[:-1], table * 65_537 + size, dtype=np.uint64)
+    out = np.full(cells.shape[:-1], size, dtype=np.uint64)
     for k in range(8):
         out = finish(out * np.uint64(3) + np.rint(cells[..., k] * 2).astype(np.int64).view(np.uint64))
-    return out.view(np.int64)
+    return ((out >> np.uint64(64 - KEY_BITS)) | np.uint64(table << KEY_BITS)).view(np.int64)
 
 
 @lru_cache(maxsize=64)
@@ -93,13 +108,152 @@ def signs(units: np.ndarray) -> np.ndarray:
     return np.packbits(side, axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-def _units(vectors: list) -> np.ndarray:
+def _units(x: np.ndarray) -> np.ndarray:
     """Unit vectors in double precision; scaled first so that no square overflows."""
-    x = np.array(vectors, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+class _Vectors:
+    """A column of lists without nulls, as flat numbers."""
+
+    def __init__(self, column: pa.ListArray):
+        self.values, self.offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        self.lengths = np.diff(self.offsets)
+
+    def units(self, at: np.ndarray, size: int) -> np.ndarray:
+        return _units(self.values[self.offsets[at][:, None] + np.arange(size)])
+
+
+def meetings(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The smallest key at which each pair of vectors meets, one of them being at home there; the largest number for those that don't.
+
+    p and q hold keys as cell_keys() gives them.
+    """
+    out = np.full(len(p[0]), np.iinfo(np.int64).max)
+    left = np.arange(len(out))
+    for t in range(p[0].shape[1]):
+        best = np.full(len(left), np.iinfo(np.int64).max)
+        for (own, _), (other, near) in ((p, q), (q, p)):
+            home = own[left, t]
+            met = (other[left, t] == home) | (near[left, t] == home[:, None]).any(axis=1)
+            best[met] = np.minimum(best[met], home[met])
+        out[left] = best
+        # keys of later tables are larger
+        left = left[best == np.iinfo(np.int64).max]
+        if not len(left):
+            break
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Places of pairs (a, b) that connect what all of them connect, without cycles; labels, of what is connected already, are brought up to date."""
+    picked, at = [], np.arange(len(a))
+    while True:
+        x, y = labels[a[at]], labels[b[at]]
+        apart = x != y
+        at, x, y = at[apart], x[apart], y[apart]
+        if not len(at):
+            return np.concatenate(picked) if picked else np.zeros(0, dtype=np.int64)
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        # each label but the least hangs itself onto one smaller label
+        chosen = np.full(len(labels), -1)
+        chosen[high] = np.arange(len(at))
+        chosen = chosen[chosen >= 0]
+        parent = np.arange(len(labels))
+        parent[high[chosen]] = low[chosen]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        labels[:] = parent[labels]
+        picked.append(at[chosen])
+
+
+@dataclass(frozen=True)
+class Lattice:
+    """Parameters of the tables, and what is done with vectors on the workers."""
+
+    least_cosine: float
+    tables: int
+    probes: int
+    scale: float
+
+    def keys(self, units: np.ndarray, tables: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return cell_keys(units, self.tables if tables is None else tables, self.probes, self.scale)
+
+    def cells(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(cell, v, home, signs) of vectors (v, vector): a row for each key."""
+        for batch in parts:
+            names, vectors = batch.column(0).to_numpy(), _Vectors(batch.column(1))
+            for size in np.unique(vectors.lengths):
+                mine = np.flatnonzero(vectors.lengths == size)
+                for at in np.array_split(mine, max(1, len(mine) // 1000)):
+                    units = vectors.units(at, size)
+                    own, near = self.keys(units)
+                    keys = np.concatenate([own, near.reshape(len(at), -1)], axis=1)
+                    home = np.broadcast_to(np.arange(keys.shape[1]) < self.tables, keys.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(names[at], keys.shape[1])), pa.array(home.ravel()), pa.array(np.repeat(signs(units), keys.shape[1]))], names=["cell", "v", "home", "signs"])
+
+    def verify(self, parts: Iterator[pa.RecordBatch], large: bool) -> Iterator[pa.RecordBatch]:
+        """(a, b) of candidates (a, b, cell, vector_a, vector_b) that are near and, where there are large cells, don't meet in one at a smaller key than cell."""
+        for batch in parts:
+            left, right = _Vectors(batch.column(3)), _Vectors(batch.column(4))
+            cells, good = batch.column(2).to_numpy(), []
+            for size in np.unique(left.lengths[left.lengths == right.lengths]):
+                same = np.flatnonzero((left.lengths == size) & (right.lengths == size))
+                for at in np.array_split(same, max(1, len(same) // 4096)):
+                    x, y = left.units(at, size), right.units(at, size)
+                    near = (x * y).sum(axis=1) >= self.least_cosine
+                    at, x, y = at[near], x[near], y[near]
+                    good.append(at[meetings(self.keys(x), self.keys(y)) >= cells[at]] if large else at)
+            picked = pa.array(np.concatenate(good)) if good else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], names=["a", "b"])
+
+    def blocks(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, linked) of rows (cell, low, high, own, v, home, copies, vector) sorted by the first three: counts (b null) and connecting links (linked null)."""
+        rest: pa.Table | None = None
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            group = np.stack([table.column(k).to_numpy() for k in range(3)])
+            ends = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            for start, end in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
+                yield from self._group(table.slice(start, end - start))
+            rest = table.slice(ends[-1] if len(ends) else 0)
+        if rest is not None:
+            yield from self._group(rest)
+
+    def _group(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "linked"]
+        cell, low, high = (table.column(k)[0].as_py() for k in range(3))
+        own, v, home, copies = (table.column(k).to_numpy() for k in range(3, 7))
+        vectors = _Vectors(table.column(7).combine_chunks())
+        size = int(vectors.lengths[0])  # keys hold the length, so a cell has one
+        units = vectors.units(np.arange(len(v)), size)
+        own_keys, near_keys = self.keys(units, (cell >> KEY_BITS) + 1)
+        linked, labels = np.zeros(len(v), dtype=np.int64), np.arange(len(v))
+        left = np.flatnonzero(own == low)
+        right = left if low == high else np.flatnonzero(own == high)
+        step = max(1, _PAIRS // max(1, len(right)))
+        for start in range(0, len(left), step):
+            rows = left[start : start + step]
+            near = (units[rows] @ units[right].T >= self.least_cosine) & (home[rows][:, None] | home[right][None, :])
+            if low == high:
+                near &= rows[:, None] < right[None, :]
+            i, j = np.nonzero(near)
+            a, b = rows[i], right[j]
+            # a pair counts where it meets first
+            first = meetings((own_keys[a], near_keys[a]), (own_keys[b], near_keys[b])) == cell
+            a, b = a[first], b[first]
+            linked += np.bincount(a, copies[b], len(v)).astype(np.int64) + np.bincount(b, copies[a], len(v)).astype(np.int64)
+            tree = forest(a, b, labels)
+            if len(tree):
+                yield pa.RecordBatch.from_arrays([pa.array(v[a[tree]]), pa.array(v[b[tree]]), pa.nulls(len(tree), pa.int64())], names=names)
+        some = np.flatnonzero(linked)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.nulls(len(some), pa.int64()), pa.array(linked[some])], names=names)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least_cosine: float = 0.95, tables: int = 14, probes: int = 16, scale: float = 1.5) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of df.
 
@@ -108,8 +262,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     with a number of copies and are never paired with each other. Vectors that are null, empty, zero or hold a null or a non-finite number
     link with nothing, nor do those of different lengths with each other; rows with a null id link with nothing either and have no component.
     Rows that share an id and a vector count as copies. With the default parameters a pair at a cosine of exactly 0.95 in 64 dimensions meets with a probability
-    over 0.99, closer ones almost surely. The time grows with the pairs that are verified: a group of m different vectors that are all near has m * (m - 1) / 2 links to count.
+    over 0.99, closer ones almost surely. Pairs of large cells are verified by matrix products where they stand: m vectors that are all near cost
+    m * (m - 1) / 2 products, as their links must be counted, but rows in proportion to m and to the blocks it is dealt to.
     """
+    if not 0 < tables <= MOST_TABLES:
+        raise ValueError(f"1 to {MOST_TABLES} tables")
+    lattice = Lattice(least_cosine, tables, probes, scale)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.coalesce(F.col("id").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
@@ -119,44 +277,29 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # a vector's node is named by a number of its own: rows with different vectors may share an id
     nodes = materialise(nodes.withColumn("v", F.xxhash64("digest")), "nodes")
 
-    def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            names = batch.column(0).to_numpy()
-            vectors = batch.column(1).to_pylist()
-            lengths = np.array([len(x) for x in vectors])
-            for size in np.unique(lengths):
-                for at in np.array_split(np.flatnonzero(lengths == size), max(1, int((lengths == size).sum()) // 1000)):
-                    units = _units([vectors[i] for i in at])
-                    own, near = cell_keys(units, tables, probes, scale)
-                    keys = np.concatenate([own, near.reshape(len(at), -1)], axis=1)
-                    home = np.broadcast_to(np.arange(keys.shape[1]) < tables, keys.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(names[at], keys.shape[1])), pa.array(home.ravel()), pa.array(np.repeat(signs(units), keys.shape[1]))], names=["cell", "v", "home", "signs"])
+    placed = materialise(nodes.select("v", "vector").mapInArrow(lattice.cells, "cell bigint, v bigint, home boolean, signs bigint"), "cells")
+    some = placed.where(F.pmod(F.xxhash64(F.lit("count"), "v"), F.lit(COUNTED)) == 0).groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("members"))
+    large = materialise(some.where(F.col("homes") * F.col("members") * COUNTED * COUNTED >= LARGE).select("cell", (F.col("members") * COUNTED).alias("members")), "large-cells")
+    any_large = not large.isEmpty()
+    named = nodes.select("v", "node", "copies")
 
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for start in range(0, batch.num_rows, 4096):
-                piece = batch.slice(start, 4096)
-                left, right = piece.column(2).to_pylist(), piece.column(3).to_pylist()
-                lengths = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(left, right, strict=True)])
-                good = []
-                for size in np.unique(lengths[lengths > 0]):
-                    at = np.flatnonzero(lengths == size)
-                    cosine = (_units([left[i] for i in at]) * _units([right[i] for i in at])).sum(axis=1)
-                    good.append(at[cosine >= least_cosine])
-                picked = pa.array(np.concatenate(good)) if good else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(picked), piece.column(1).take(picked)], names=["a", "b"])
-
-    placed = materialise(nodes.select("v", "vector").mapInArrow(cells, "cell bigint, v bigint, home boolean, signs bigint"), "cells")
-    homes, looks = placed.where("home").select("cell", F.col("v").alias("a"), F.col("signs").alias("s")), placed.select("cell", F.col("v").alias("b"), F.col("signs").alias("t"))
+    homes = placed.where("home")
+    if any_large:
+        homes = homes.join(large.select("cell"), "cell", "left_anti")
+    homes, looks = homes.select("cell", F.col("v").alias("a"), F.col("signs").alias("s")), placed.select("cell", F.col("v").alias("b"), F.col("signs").alias("t"))
     close = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= most_signs(least_cosine)
-    pairs = homes.join(looks, "cell").where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = homes.join(looks, "cell").where((F.col("a") != F.col("b")) & close).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("cell").alias("cell"))
     pairs = materialise(pairs, "candidates")
     vector = lambda end: nodes.select(F.col("v").alias(end), F.col("vector").alias(f"vector_{end}"))
-    links = materialise(pairs.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", "vector_a", "vector_b").mapInArrow(verify, "a bigint, b bigint"), "links")
+    links = materialise(pairs.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", "cell", "vector_a", "vector_b").mapInArrow(lambda parts: lattice.verify(parts, any_large), "a bigint, b bigint"), "links")
 
-    named = nodes.select("v", "node", "copies")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(named.select(F.col("v").alias("b"), "copies"), "b").groupBy(F.col("a").alias("v")).agg(F.sum("copies").alias("linked"))
+    counts = both.join(named.select(F.col("v").alias("b"), "copies"), "b").select(F.col("a").alias("v"), F.col("copies").alias("linked"))
+    if any_large:
+        found = _large_cells(lattice, placed, large, nodes)
+        counts = counts.unionByName(found.where(F.col("linked").isNotNull()).select(F.col("a").alias("v"), "linked"))
+        links = links.unionByName(found.where(F.col("linked").isNull()).select("a", "b"))
+    counts = counts.groupBy("v").agg(F.sum("linked").alias("linked"))
     # components run over ids, so that rows which share an id are reachable from each other
     ends = links.join(named.select(F.col("v").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("v").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     copies = keyed.where(F.col("digest").isNotNull()).select("id", "digest").join(nodes.select("digest", "node"), "digest").where(F.col("id") != F.col("node")).select(F.col("id").alias("x"), F.col("node").alias("y"))
@@ -165,3 +308,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     out = keyed.select("id", "digest").join(known, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _large_cells(lattice: Lattice, placed: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What Lattice.blocks() finds in large cells (cell, members): every pair of blocks of a cell is a group of its own."""
+    blocks = large.select("cell", F.ceil(F.col("members") / F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("members") / 8))).cast("int").alias("blocks"))
+    members = materialise(placed.join(blocks, "cell").select("cell", "blocks", "v", "home", F.pmod(F.xxhash64(F.lit("block"), "v"), F.col("blocks")).cast("int").alias("own")), "members")
+    dealt = members.join(nodes.select("v", "copies", "vector"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "v", "home", "copies", "vector")
+    grouped = dealt.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    return materialise(grouped.mapInArrow(lattice.blocks, "a bigint, b bigint, linked bigint"), "block-links")

@@ -184,7 +184,12 @@ def test_signs_keep_pairs_at_the_bound():
     assert (apart <= 22).mean() < 0.02
 
 
-def test_embeddings_against_all_pairs(spark):
+@pytest.mark.parametrize("large", [1, 1 << 10, 1 << 18])
+def test_embeddings_against_all_pairs(spark, monkeypatch, large):
+    monkeypatch.setattr(lattice, "LARGE", large)
+    monkeypatch.setattr(lattice, "BLOCK", (16, 64))
+    monkeypatch.setattr(lattice, "COUNTED", 1)
+    monkeypatch.setattr(lattice, "_PAIRS", 100)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 64))
     vectors = [list(map(float, c + rng.normal(size=64) * s)) for c in centres for s in (0, 0.05, 0.1, 0.2, 0.3) for _ in range(4)]
@@ -206,6 +211,33 @@ def test_embeddings_against_all_pairs(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_cells_find_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "COUNTED", 1)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32)
+    vectors = [list(map(float, centre + rng.normal(size=32) * s)) for s in rng.uniform(0.0, 0.5, 300)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(1000 + i, vectors[i]) for i in range(0, 300, 7)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    results = []
+    for large, block in ((1 << 40, (512, 8192)), (1, (16, 32)), (2000, (50, 8192))):
+        monkeypatch.setattr(lattice, "LARGE", large)
+        monkeypatch.setattr(lattice, "BLOCK", block)
+        results.append(sorted(map(tuple, lattice.near_duplicates(df).collect())))
+    assert results[0] == results[1] == results[2] and max(r[1] for r in results[0]) > 50
+    with pytest.raises(ValueError):
+        lattice.near_duplicates(df, tables=lattice.MOST_TABLES + 1)
+
+
+def test_forests_connect_without_cycles():
+    rng = np.random.default_rng(3)
+    labels, a, b, links = np.arange(60), rng.integers(0, 60, 90), rng.integers(0, 60, 90), []
+    for part in (slice(0, 45), slice(45, 90)):
+        at = lattice.forest(a[part], b[part], labels)
+        links += list(zip(a[part][at].tolist(), b[part][at].tolist()))
+    want = components(60, list(zip(a.tolist(), b.tolist())))
+    assert components(60, links) == want and len(links) == 60 - len(set(want))
+
+
 def test_copies_of_a_vector_are_counted(spark):
     v = [float(i) for i in range(1, 9)]
     df = spark.createDataFrame([(i, v, 0) for i in (5, 4, 9, 9)], "vec_id bigint, embedding array<float>, label int")
