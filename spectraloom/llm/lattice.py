@@ -59,8 +59,8 @@ def decode(x: np.ndarray) -> np.ndarray:
 KEY_BITS = 57
 MOST_TABLES = 1 << 63 - KEY_BITS
 #: Cells in which so many pairs meet, or more, are large; they are found by counting one vector in COUNTED, which decides how they are compared and nothing else.
-LARGE = 1 << 18
-COUNTED = 16
+LARGE = 1 << 12
+COUNTED = 8
 #: Members of a block of a large cell, at least and at most: an eighth of the cell between these bounds.
 BLOCK = (512, 8192)
 #: Pairs looked at in one go inside a block.
