@@ -61,8 +61,9 @@ MOST_TABLES = 1 << 63 - KEY_BITS
 #: Cells in which so many pairs meet, or more, are large; they are found by counting one vector in COUNTED, which decides how they are compared and nothing else.
 LARGE = 1 << 12
 COUNTED = 8
-#: Members of a block of a large cell, at least and at most: an eighth of the cell between these bounds.
-BLOCK = (512, 8192)
+#: Members of a block of a large cell, at least and at most: an eighth of the cell between these bounds, and not more than BLOCK_BYTES of vectors.
+BLOCK = (4096, 16384)
+BLOCK_BYTES = 1 << 25
 #: Pairs looked at in one go inside a block.
 _PAIRS = 1 << 17
 
@@ -312,7 +313,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def _large_cells(lattice: Lattice, placed: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame:
     """What Lattice.blocks() finds in large cells (cell, members): every pair of blocks of a cell is a group of its own."""
-    blocks = large.select("cell", F.ceil(F.col("members") / F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("members") / 8))).cast("int").alias("blocks"))
+    longest = nodes.agg(F.max(F.size("vector"))).first()[0]
+    least, most = (max(1, min(n, BLOCK_BYTES // (8 * longest))) for n in BLOCK)
+    blocks = large.select("cell", F.ceil(F.col("members") / F.greatest(F.lit(least), F.least(F.lit(most), F.col("members") / 8))).cast("int").alias("blocks"))
     members = materialise(placed.join(blocks, "cell").select("cell", "blocks", "v", "home", F.pmod(F.xxhash64(F.lit("block"), "v"), F.col("blocks")).cast("int").alias("own")), "members")
     dealt = members.join(nodes.select("v", "copies", "vector"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "v", "home", "copies", "vector")
