@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, windows of the resulting templates are hashed, also with names as literals and by what stands there, and the windows of documents are
 hash-joined to those of the benchmark. Windows that match may differ in what fills the placeholders, as in re-parameterised
-questions; each benchmark value must then be replaced by the same document value all along.
+questions; each benchmark value must then be replaced by the same document value all along. Items that differ only in what fills their
+placeholders, with equal values at the same places, are one family and are matched once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .shared import MIXED, SpanHasher, finish, slices, word_bounds
 
 #: Words of a window; items with fewer have one window of their own length.
 WINDOW = 8
-#: Items with fewer words are no evidence.
+#: Items with fewer words are found only where they are all of a line.
 LEAST_WORDS = 4
 #: So many words in a row are a leak, or all of a shorter item.
 LEAST_RUN = 13
@@ -65,6 +66,28 @@ class Template:
     slots: np.ndarray
     owner: np.ndarray
     counts: np.ndarray
+    lines: np.ndarray
+
+    def fills(self) -> np.ndarray:
+        """For placeholders the place, in their text, where their value stands first; 0 for literals."""
+        out = np.zeros(len(self.values), dtype=np.int64)
+        at = np.flatnonzero(self.slots > 0)
+        if len(at):
+            _, first, back = np.unique(np.stack([self.owner[at].astype(np.uint64), self.values[at]]), axis=1, return_index=True, return_inverse=True)
+            out[at] = at[first[back.ravel()]] - (np.cumsum(self.counts) - self.counts)[self.owner[at]]
+        return out
+
+    def families(self) -> np.ndarray:
+        """A hash for each text of its template and of which placeholders are filled alike."""
+        ends = np.cumsum(self.counts)
+        return SpanHasher(np.where(self.slots > 0, finish(self.codes ^ finish(self.fills().astype(np.uint64) + np.uint64(1))), self.codes))(ends - self.counts, ends)
+
+    def whole_lines(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows that are all of a line, hashed by what stands there."""
+        edge = np.concatenate([[True], self.lines[1:] != self.lines[:-1], [True]]) if len(self.lines) else np.ones(1, dtype=bool)
+        first = np.flatnonzero(edge)
+        starts = first[:-1][np.diff(first) == size]
+        return starts, SpanHasher(self.values)(starts, starts + size)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows inside one text with more literals than placeholders."""
@@ -124,11 +147,14 @@ def template(texts: list[str]) -> Template:
         unit[1:] = (slots[:-1] == 1) & (owner[1:] == owner[:-1])
         slots[unit & (slots == 0) & np.isin(values, _unit_hashes())] = 3
     codes = np.where(slots == 0, values, finish(slots.astype(np.uint64) + np.uint64(0xABCDEF)))
-    return Template(codes, values, slots, owner, np.bincount(owner, minlength=len(texts)))
+    return Template(codes, values, slots, owner, np.bincount(owner, minlength=len(texts)), lines[starts])
 
 
 def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, bitmap) -> DataFrame:
-    """(id, h, size, at, hash, words, slots, kind, n_words) of the windows of picked (id, h, text): of documents those the bitmap holds."""
+    """(id, h, size, at, hash, words, slots, kind, n_words, family) of the windows of picked (id, h, text): of documents those the bitmap holds.
+
+    words are hashes, but for the placeholders of items the places that fills() gives.
+    """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8), bitorder="little").view(bool)
@@ -137,8 +163,14 @@ def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, b
             for start, end in slices(texts):
                 made = template(texts[start:end])
                 offset = np.cumsum(made.counts) - made.counts
+                words = np.where(made.slots > 0, made.fills(), made.values.view(np.int64)) if whole_short else made.values.view(np.int64)
+                families = made.families().view(np.int64) if whole_short else np.zeros(len(made.counts), dtype=np.int64)
                 for size in sizes:
-                    found = [made.windows(size), made.named_windows(size), made.copied_windows(size)]
+                    if size >= LEAST_WORDS:
+                        found = [made.windows(size), made.named_windows(size), made.copied_windows(size)]
+                    else:
+                        nothing = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+                        found = [nothing, nothing, made.copied_windows(size) if whole_short else made.whole_lines(size)]
                     at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
                     kinds = np.repeat(np.arange(KINDS, dtype=np.int32), [len(x[0]) for x in found])
                     if whole_short:
@@ -154,30 +186,34 @@ def _window_rows(picked: DataFrame, sizes: tuple[int, ...], whole_short: bool, b
                     own = made.owner[at]
                     places = at[:, None] + np.arange(size)
                     ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * size)
-                    values = pa.ListArray.from_arrays(ends, pa.array(made.values[places].view(np.int64).ravel()))
+                    values = pa.ListArray.from_arrays(ends, pa.array(words[places].ravel()))
                     slots = pa.ListArray.from_arrays(ends, pa.array(made.slots[places].astype(np.int32).ravel()))
                     rows = pa.array(own + start)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array((at - offset[own]).astype(np.int64)), pa.array(hashes.view(np.int64)), values, slots, pa.array(kinds), pa.array(made.counts[own].astype(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array((at - offset[own]).astype(np.int64)), pa.array(hashes.view(np.int64)), values, slots, pa.array(kinds), pa.array(made.counts[own].astype(np.int64)), pa.array(families[own])], names=names)
 
-    names = ["id", "h", "size", "at", "hash", "words", "slots", "kind", "n_words"]
+    names = ["id", "h", "size", "at", "hash", "words", "slots", "kind", "n_words", "family"]
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(batches, f"id {kind}, h bigint, size int, at bigint, hash bigint, words array<bigint>, slots array<int>, kind int, n_words bigint")
+    return picked.mapInArrow(batches, f"id {kind}, h bigint, size int, at bigint, hash bigint, words array<bigint>, slots array<int>, kind int, n_words bigint, family bigint")
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, h, item, covered): documents that leak the benchmark, h being xxhash64 of their text; each pair of id and text once.
 
-    A document leaks an item if LEAST_RUN template words in a row (all of a shorter item) or LEAST_SHARE of the item's windows match, and every
-    placeholder value of the benchmark has the same counterpart all along that occurrence of the item; windows with the item's own values always
-    count. A window that several items share is held against each of them, so matches grow with the items that share it; equal texts are one item. Items under LEAST_WORDS words, null or empty texts and rows with null item ids match
+    Items of one template whose placeholders are filled alike at the same places are a family, named by its smallest item. A document leaks a family if
+    LEAST_RUN template words in a row (all of a shorter item) or LEAST_SHARE of an item's windows match, and every
+    placeholder value of the benchmark has the same counterpart all along that occurrence of the item; windows with the values of an item always
+    count. Items under LEAST_WORDS words match lines that hold nothing else. A window that several families share is held against each of them, so matches
+    grow with the families, not the items, that share it. Null or empty texts and rows with null item ids match
     nothing. covered is the largest number of words in a row, or of windows.
     """
     spark = documents.sparkSession
     named = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = named.groupBy("text").agg(F.min("id").alias("id")).select("id", F.xxhash64("text").alias("h"), "text")
-    sizes = tuple(range(LEAST_WORDS, WINDOW + 1))
-    found = _window_rows(items, sizes, True, None)
-    known = materialise(found.select("size", "hash", F.col("id").alias("item"), F.col("h").alias("item_h"), F.col("at").alias("item_at"), F.col("words").alias("item_values"), F.col("slots").alias("item_slots"), "kind", F.col("n_words").alias("item_words")), "known-windows")
+    made = materialise(_window_rows(items, tuple(range(1, WINDOW + 1)), True, None), "item-windows")
+    families = materialise(made.groupBy("family").agg(F.min("id").alias("item")), "families")
+    same = made.groupBy("size", "hash", "family", F.col("at").alias("item_at"))
+    known = same.agg(F.min("kind").alias("kind"), F.first("words").alias("item_values"), F.first("slots").alias("item_slots"), F.first("n_words").alias("item_words"))
+    known = materialise(known, "known-windows")
     prefixes = known.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p")).distinct().toArrow().column("p").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[prefixes] = True
@@ -186,15 +222,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
     hits = materialise(_window_rows(texts, used, False, bitmap), "window-hits")
-    met = hits.select("id", "h", "size", "at", "hash", "words").join(known.drop("kind"), ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    met = hits.select("id", "h", "size", "at", "hash", "words").join(known, ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
     filled = F.filter(F.arrays_zip(F.col("item_values").alias("b"), F.col("words").alias("d"), F.col("item_slots").alias("slot")), lambda x: x["slot"] > 0)
     met = met.withColumn("pairs", F.transform(filled, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))))
-    met = met.select("id", "h", "size", "at", "item", "item_h", "item_at", "item_words", "shift", "pairs", (F.col("item_values") == F.col("words")).alias("equal"))
-    # windows with the same shift belong to one occurrence of an item
-    occurrence = ["id", "h", "size", "item", "item_h", "shift", "item_words"]
-    met = materialise(met.dropDuplicates([*occurrence, "at"]), "window-matches")
+    # windows with the same shift belong to one occurrence of an item; what one has as a copy, or without placeholders, needs no agreement
+    occurrence = ["id", "h", "size", "family", "shift", "item_words"]
+    copied = (F.col("kind") == KINDS - 1) | (F.size("pairs") == 0)
+    met = materialise(met.groupBy(*occurrence, "at", "item_at").agg(F.max(copied).alias("equal"), F.first("pairs").alias("pairs")), "window-matches")
 
-    # its slots must agree from end to end, but windows filled like the item's are copies whatever stands around them
+    # its slots must agree from end to end, but windows filled like an item's are copies whatever stands around them
     pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
     fits = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["b"])))
     whole = met.groupBy(*occurrence).agg(fits.alias("fits"), F.collect_list(F.struct("at", "item_at", "equal")).alias("places"))
@@ -202,15 +238,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     met = materialise(kept.select(*occurrence, "at", "item_at"), "consistent-matches")
     order = Window.partitionBy(*occurrence).orderBy("at")
     runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy(*occurrence, "run").agg((F.count(F.lit(1)) + F.col("size") - 1).alias("covered"))
-    in_a_row = runs.where(F.col("covered") >= F.least(F.lit(LEAST_RUN), F.col("item_words"))).select("id", "h", "item", "covered")
+    in_a_row = runs.where(F.col("covered") >= F.least(F.lit(LEAST_RUN), F.col("item_words"))).select("id", "h", "family", "covered")
     # places whose only windows are those of copies say nothing against a new fill: the share is taken without and with them
-    strict = known.groupBy("item", "item_h", "item_at").agg(F.min("kind").alias("kind"))
+    strict = known.groupBy("family", "item_at").agg(F.min("kind").alias("kind"))
     levels = F.explode(F.sequence(F.col("kind"), F.lit(KINDS - 1))).alias("level")
-    totals = strict.select("item", "item_h", levels).groupBy("item", "item_h", "level").agg(F.count(F.lit(1)).alias("windows"))
-    places = met.select("id", "h", "item", "item_h", "item_at").distinct().join(strict, ["item", "item_h", "item_at"]).select("id", "h", "item", "item_h", levels)
-    shares = places.groupBy("id", "h", "item", "item_h", "level").agg(F.count(F.lit(1)).alias("covered")).join(totals, ["item", "item_h", "level"])
-    in_parts = shares.where(F.col("covered") >= F.greatest(LEAST_SHARE * F.col("windows"), F.lit(2))).select("id", "h", "item", "covered")
-    return in_a_row.unionByName(in_parts).groupBy("id", "h").agg(F.min("item").alias("item"), F.max("covered").alias("covered"))
+    totals = strict.select("family", levels).groupBy("family", "level").agg(F.count(F.lit(1)).alias("windows"))
+    places = met.select("id", "h", "family", "item_at").distinct().join(strict, ["family", "item_at"]).select("id", "h", "family", levels)
+    shares = places.groupBy("id", "h", "family", "level").agg(F.count(F.lit(1)).alias("covered")).join(totals, ["family", "level"])
+    in_parts = shares.where(F.col("covered") >= F.greatest(LEAST_SHARE * F.col("windows"), F.lit(2))).select("id", "h", "family", "covered")
+    return in_a_row.unionByName(in_parts).join(families, "family").groupBy("id", "h").agg(F.min("item").alias("item"), F.max("covered").alias("covered"))
 
 
 def mark(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

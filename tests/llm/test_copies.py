@@ -304,6 +304,114 @@ def test_copies_of_each_item_of_a_template(spark):
     assert found_items(spark, [tail], [tail.replace("other 3", "other 8")]) == [1]
 
 
+def plain_leaks(items, text):
+    """(smallest item, covered) of the families that a text leaks, by holding every window against every item at every shift."""
+    d = decontaminate.template([text or ""])
+    families = {}
+    for i, x in items:
+        t = decontaminate.template([x])
+        values = t.values.tolist()
+        fills = [values.index(v) if s else None for v, s in zip(values, t.slots)]
+        families.setdefault((tuple(t.codes.tolist()), tuple(fills)), []).append((i, t))
+    found, words, doc_codes = [], d.values.tolist(), d.codes.tolist()
+    for (codes, fills), members in families.items():
+        n, slots = len(codes), members[0][1].slots.tolist()
+        if not n:
+            continue
+        size = min(n, decontaminate.WINDOW)
+        if n < decontaminate.LEAST_WORDS:
+            lines = [decontaminate.template([x]).values.tolist() for x in (text or "").split("\n")]
+            if any(t.values.tolist() in lines for _, t in members):
+                found.append((min(i for i, _ in members), n))
+            continue
+        kinds, hits = {}, {}
+        for p in range(n - size + 1):
+            window = slots[p : p + size]
+            literal = {0: sum(x == 0 for x in window) > size // 2, 1: sum(x in (0, 2) for x in window) > size // 2, 2: True}
+            kinds[p] = min(k for k, ok in literal.items() if ok)
+            own = {0: {codes[p : p + size]}, 1: set(), 2: set()}
+            for _, t in members:
+                v = t.values.tolist()
+                own[1].add(tuple(v[k] if slots[k] == 2 else codes[k] for k in range(p, p + size)))
+                own[2].add(tuple(v[p : p + size]))
+            for at in range(len(words) - size + 1):
+                # which words of a document are names doesn't matter where names are literals
+                there = {0: tuple(doc_codes[at : at + size]), 1: tuple(w if s == 2 else c for w, c, s in zip(words[at : at + size], doc_codes[at : at + size], d.slots[at : at + size])), 2: tuple(words[at : at + size])}
+                if any(literal[k] and there[k] in own[k] for k in (0, 1, 2)):
+                    pairs = {(fills[p + k], words[at + k]) for k in range(size) if window[k]}
+                    hits.setdefault(at - p, []).append((at, p, there[2] in own[2] or not pairs, pairs))
+        places = set()
+        for shift in hits.values():
+            pairs = set().union(*(x[3] for x in shift))
+            fits = len({b for b, _ in pairs}) == len(pairs)
+            kept = sorted(at for at, _, equal, _ in shift if fits or equal)
+            places |= {p for _, p, equal, _ in shift if fits or equal}
+            for k, group in itertools.groupby(enumerate(kept), lambda x: x[1] - x[0]):
+                covered = len(list(group)) + size - 1
+                if covered >= min(decontaminate.LEAST_RUN, n):
+                    found.append((min(i for i, _ in members), covered))
+        for level in range(3):
+            windows, covered = sum(k <= level for k in kinds.values()), sum(kinds[p] <= level for p in places)
+            if covered >= max(decontaminate.LEAST_SHARE * windows, 2):
+                found.append((min(i for i, _ in members), covered))
+    return (min(i for i, _ in found), max(c for _, c in found)) if found else (None, 0)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_leaks_of_sibling_items_against_all_items_and_places(spark, seed):
+    rnd = random.Random(seed)
+    plain = "the farmer buys sells apples pears and then gives to a friend how many are left in all after that day".split()
+    names, units = ["Alice", "Bob", "Carol"], ["kg", "euro"]
+
+    def frame():
+        return [rnd.choice(["w", "w", "w", "w", "n", "u", "p"]) for _ in range(rnd.choice([2, 3, 5, 7, 9, 14, 22, 30]))]
+
+    def filled(shape, seed_words):
+        out, k = [], 0
+        for x in shape:
+            k += 1
+            out += [seed_words[k % len(seed_words)]] if x == "w" else [str(rnd.randint(1, 3))] if x == "n" else [str(rnd.randint(1, 3)), rnd.choice(units)] if x == "u" else [rnd.choice(names)]
+        return " ".join(out)
+
+    shapes = [(frame(), rnd.sample(plain, 12)) for _ in range(8)]
+    items = [(k + 1, filled(*shapes[k % len(shapes)])) for k in range(40)]
+    docs = []
+    for k in range(120):
+        shape, seed_words = rnd.choice(shapes)
+        words = (rnd.choice(items)[1] if k % 2 else filled(shape, seed_words)).split()
+        for _ in range(rnd.choice([0, 0, 0, 1, 2])):
+            words[rnd.randrange(len(words))] = rnd.choice([*plain, "7", "Dave"])
+        cut = rnd.choice([0, 0, 0, 3])
+        words = words[cut:]
+        lead = " ".join(rnd.choice(plain) for _ in range(rnd.randint(0, 6)))
+        docs.append(f"{lead}{rnd.choice([' ', chr(10)])}{' '.join(words)}{rnd.choice(['', ' and so on', chr(10) + 'more'])}")
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(docs)], DOCS)
+    got = {r.doc_id: (r.item_id, r.covered) for r in decontaminate.mark(table, spark.createDataFrame(items, BENCH)).collect()}
+    want = {i: plain_leaks(items, t) for i, t in enumerate(docs)}
+    assert sum(x[0] is not None for x in want.values()) > 20 and sum(x[0] is None for x in want.values()) > 5
+    assert got == want
+
+
+def test_items_of_a_few_words_are_found_as_whole_lines(spark):
+    texts = ["Name five\ncolours", "  name FIVE, \nand more", "please Name five colours", "x\n12 + 30\ny", "12 + 30 is"]
+    assert found_items(spark, ["Name five", "12 + 30"], texts) == [1, 1, None, 2, None]
+
+
+def test_a_family_of_items_is_matched_once(spark, monkeypatch):
+    counts = {}
+    keep = decontaminate.materialise
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialise", counted)
+    items = [f"In the morning Tom has {a} apples and buys {a + 500} more apples so how many apples does he have now" for a in range(300)]
+    assert found_items(spark, items, [items[7], items[290].replace("790", "13")]) == [1, 1]
+    assert counts["families"] == 1 and counts["window-matches"] < 40
+
+
 def test_copies_of_items_full_of_numbers_and_names(spark):
     items = ["What is 12 * 34 + 56 ?", "Barack Obama met Angela Merkel and Emmanuel Macron in Paris in May 2016", "What is 12 plus 34 minus 5 times 6?", "Solve 2x + 3y = 12 and 4x - 5y = 6 for x and y"]
     copies = [f"some words about this and that {x} and so on" for x in items]
