@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,15 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and everything runs in this process.
+
+    RuntimeError without a named folder elsewhere: executors on other machines would write to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = f"file://{tempfile.mkdtemp(prefix='spectraloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -56,12 +63,29 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def chain(df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """Applies steps (tag, function), each result written and read again as the next one's input.
+
+    Once a result is written, what its step wrote on the way and the step's input, if an earlier step made it, are deleted.
+    """
+    start = len(_written)
+    for tag, step in steps:
+        df = materialise(step(df), tag)
+        _delete(_written[start:-1])
+        del _written[start:-1]
+    return df
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clean_up() -> None:
     """Deletes the tables that materialise() has written."""
     while _written:
-        spark, path = _written.pop()
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete([_written.pop()])
         except Exception:  # noqa: BLE001  the session has ended: the folder goes with the cluster's clean-up
             return
