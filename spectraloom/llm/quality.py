@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..tables import materialise
 from .langid import sums
@@ -160,13 +161,17 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: tupl
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 
+    columns = [F.col(f"`{c}`") for c in keep]
+    if text_col not in keep or df.schema[text_col].dataType != StringType():
+        columns.append(F.col(f"`{text_col}`").cast("string").alias("__text"))
+    place = len(keep) if len(columns) > len(keep) else keep.index(text_col)
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
+            texts = [x or "" for x in batch.column(place).to_pylist()]
             for start, end in slices(texts):
                 scores = held.value.score(texts[start:end])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "quality_score"])
 
-    picked = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(batches, f"{kept}, quality_score double")
+    picked = df.select(*columns)
+    return picked.mapInArrow(batches, StructType([*picked.schema.fields[: len(keep)], StructField("quality_score", DoubleType())]))

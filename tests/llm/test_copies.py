@@ -267,6 +267,13 @@ def test_templates_find_copies_and_new_parameters(spark):
     assert not any(r.contaminated for r in decontaminate.mark(docs, bench.limit(0)).collect())
 
 
+def test_leaks_of_all_documents_against_all_items(spark, sf_dir):
+    docs, bench = (queries.table(spark, sf_dir, n).collect() for n in ("documents", "benchmark"))
+    known = plain_families([(r.item_id, r.text) for r in bench])
+    got = {r.doc_id: (r.item_id, r.covered) for r in queries.op4_decontamination(spark, sf_dir).collect()}
+    assert got == {r.doc_id: plain_leaks(known, r.text) for r in docs}
+
+
 def test_leaks_against_plain_windows(spark, sf_dir):
     docs, bench = (queries.table(spark, sf_dir, n).collect() for n in ("documents", "benchmark"))
 
@@ -304,56 +311,66 @@ def test_copies_of_each_item_of_a_template(spark):
     assert found_items(spark, [tail], [tail.replace("other 3", "other 8")]) == [1]
 
 
-def plain_leaks(items, text):
-    """(smallest item, covered) of the families that a text leaks, by holding every window against every item at every shift."""
-    d = decontaminate.template([text or ""])
+def plain_families(items):
+    """Families of (id, text) with their windows: what a text's windows are looked up in."""
     families = {}
     for i, x in items:
         t = decontaminate.template([x])
         values = t.values.tolist()
-        fills = [values.index(v) if s else None for v, s in zip(values, t.slots)]
-        families.setdefault((tuple(t.codes.tolist()), tuple(fills)), []).append((i, t))
-    found, words, doc_codes = [], d.values.tolist(), d.codes.tolist()
+        fills = tuple(values.index(v) if s else None for v, s in zip(values, t.slots))
+        families.setdefault((tuple(t.codes.tolist()), fills), []).append((i, t))
+    out, windows = [], {}
     for (codes, fills), members in families.items():
         n, slots = len(codes), members[0][1].slots.tolist()
-        if not n:
-            continue
-        size = min(n, decontaminate.WINDOW)
-        if n < decontaminate.LEAST_WORDS:
-            lines = [decontaminate.template([x]).values.tolist() for x in (text or "").split("\n")]
-            if any(t.values.tolist() in lines for _, t in members):
-                found.append((min(i for i, _ in members), n))
-            continue
-        kinds, hits = {}, {}
-        for p in range(n - size + 1):
+        size, kinds = min(n, decontaminate.WINDOW), {}
+        family = (min(i for i, _ in members), n, size, slots, fills, kinds, {tuple(t.values.tolist()) for _, t in members})
+        out.append(family)
+        for p in range(n - size + 1) if n >= decontaminate.LEAST_WORDS else ():
             window = slots[p : p + size]
             literal = {0: sum(x == 0 for x in window) > size // 2, 1: sum(x in (0, 2) for x in window) > size // 2, 2: True}
             kinds[p] = min(k for k, ok in literal.items() if ok)
-            own = {0: {codes[p : p + size]}, 1: set(), 2: set()}
             for _, t in members:
                 v = t.values.tolist()
-                own[1].add(tuple(v[k] if slots[k] == 2 else codes[k] for k in range(p, p + size)))
-                own[2].add(tuple(v[p : p + size]))
-            for at in range(len(words) - size + 1):
-                # which words of a document are names doesn't matter where names are literals
-                there = {0: tuple(doc_codes[at : at + size]), 1: tuple(w if s == 2 else c for w, c, s in zip(words[at : at + size], doc_codes[at : at + size], d.slots[at : at + size])), 2: tuple(words[at : at + size])}
-                if any(literal[k] and there[k] in own[k] for k in (0, 1, 2)):
-                    pairs = {(fills[p + k], words[at + k]) for k in range(size) if window[k]}
-                    hits.setdefault(at - p, []).append((at, p, there[2] in own[2] or not pairs, pairs))
-        places = set()
-        for shift in hits.values():
-            pairs = set().union(*(x[3] for x in shift))
-            fits = len({b for b, _ in pairs}) == len(pairs)
-            kept = sorted(at for at, _, equal, _ in shift if fits or equal)
-            places |= {p for _, p, equal, _ in shift if fits or equal}
-            for k, group in itertools.groupby(enumerate(kept), lambda x: x[1] - x[0]):
-                covered = len(list(group)) + size - 1
-                if covered >= min(decontaminate.LEAST_RUN, n):
-                    found.append((min(i for i, _ in members), covered))
+                own = {0: codes[p : p + size], 1: tuple(v[k] if slots[k] == 2 else codes[k] for k in range(p, p + size)), 2: tuple(v[p : p + size])}
+                for k in own:
+                    if literal[k]:
+                        windows.setdefault((k, own[k]), set()).add((len(out) - 1, p))
+    return out, windows
+
+
+def plain_leaks(known, text):
+    """(smallest item, covered) of the families that a text leaks, every window being held against all items at every shift."""
+    families, windows = known
+    d = decontaminate.template([text or ""])
+    found, words, codes, slots = [], d.values.tolist(), d.codes.tolist(), d.slots.tolist()
+    lines = {tuple(decontaminate.template([x]).values.tolist()) for x in (text or "").split("\n")}
+    found += [(item, n) for item, n, *_, members in families if 0 < n < decontaminate.LEAST_WORDS and members & lines]
+    hits = {}
+    for size in {f[2] for f in families if f[1] >= decontaminate.LEAST_WORDS}:
+        for at in range(len(words) - size + 1):
+            span = range(at, at + size)
+            there = {0: tuple(codes[at : at + size]), 1: tuple(words[k] if slots[k] == 2 else codes[k] for k in span), 2: tuple(words[at : at + size])}
+            for k, x in there.items():
+                for f, p in windows.get((k, x), ()):
+                    hits.setdefault((f, at - p), {}).setdefault((at, p), set()).add(k)
+    places = {}
+    for (f, _), shift in hits.items():
+        item, n, size, _, fills, kinds, _ = families[f]
+        pairs = {(at, p): {(fills[p + k], words[at + k]) for k in range(size) if fills[p + k] is not None} for at, p in shift}
+        everything = set().union(*pairs.values())
+        fits = len({b for b, _ in everything}) == len(everything)
+        kept = sorted((at, p) for (at, p), ks in shift.items() if fits or 2 in ks or not pairs[at, p])
+        places.setdefault(f, set()).update(p for _, p in kept)
+        for _, group in itertools.groupby(enumerate(at for at, _ in kept), lambda x: x[1] - x[0]):
+            covered = len(list(group)) + size - 1
+            if covered >= min(decontaminate.LEAST_RUN, n):
+                found.append((item, covered))
+    for f, there in places.items():
+        item, kinds = families[f][0], families[f][5]
         for level in range(3):
-            windows, covered = sum(k <= level for k in kinds.values()), sum(kinds[p] <= level for p in places)
-            if covered >= max(decontaminate.LEAST_SHARE * windows, 2):
-                found.append((min(i for i, _ in members), covered))
+            total, covered = sum(k <= level for k in kinds.values()), sum(kinds[p] <= level for p in there)
+            if covered >= max(decontaminate.LEAST_SHARE * total, 2):
+                found.append((item, covered))
     return (min(i for i, _ in found), max(c for _, c in found)) if found else (None, 0)
 
 
@@ -387,7 +404,8 @@ def test_leaks_of_sibling_items_against_all_items_and_places(spark, seed):
         docs.append(f"{lead}{rnd.choice([' ', chr(10)])}{' '.join(words)}{rnd.choice(['', ' and so on', chr(10) + 'more'])}")
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(docs)], DOCS)
     got = {r.doc_id: (r.item_id, r.covered) for r in decontaminate.mark(table, spark.createDataFrame(items, BENCH)).collect()}
-    want = {i: plain_leaks(items, t) for i, t in enumerate(docs)}
+    known = plain_families(items)
+    want = {i: plain_leaks(known, t) for i, t in enumerate(docs)}
     assert sum(x[0] is not None for x in want.values()) > 20 and sum(x[0] is None for x in want.values()) > 5
     assert got == want
 

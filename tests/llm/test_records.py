@@ -8,13 +8,17 @@ import math
 import random
 import re
 import time
+from collections import Counter
 from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spectraloom.llm import personal, queries, warc
+import test_copies
+import test_texts
+from spectraloom import tables
+from spectraloom.llm import personal, queries, simhash, warc
 from spectraloom.tables import fresh_path, materialise
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -270,33 +274,56 @@ def test_broken_members_are_passed_over(tmp_path):
     assert sum(halves, []) == found
 
 
-def test_pipeline_stages_one_by_one(spark, sf_dir):
-    from spectraloom.llm import linededup, quality, simhash
+def plain_groups(texts, size=5, least=0.8):
+    """For each text the first one that it reaches over pairs of similar sets of shingles: all with all that share a shingle."""
+    sets, owners, near = [set(simhash.shingles(t or "", size)) for t in texts], {}, []
+    for i, own in enumerate(sets):
+        for x in own:
+            owners.setdefault(x, []).append(i)
+    empty = [i for i, own in enumerate(sets) if not own]
+    near += list(itertools.pairwise(empty))
+    for i, own in enumerate(sets):
+        common = Counter(j for x in own for j in owners[x] if j > i)
+        near += [(i, j) for j, n in common.items() if n >= least * (len(own) + len(sets[j]) - n)]
+    return test_copies.components(len(texts), near)
+
+
+def test_pipeline_stages_against_plain_versions(spark, sf_dir):
+    import sentencepiece
 
     docs = queries.table(spark, sf_dir, "documents")
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
-        kept[name] = (before, docs)
+        kept[name] = (before.collect(), docs.collect())
         if name != "sentencepiece":
-            assert docs.columns == columns and docs.select("doc_id").distinct().count() == docs.count()
+            assert docs.columns == columns and len({r.doc_id for r in kept[name][1]}) == len(kept[name][1])
     before, after = kept["quality"]
-    scores = quality.score(before, queries.quality_model(spark, sf_dir)).collect()
-    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in scores if r.quality_score >= 0.3}
+    scores = test_texts.plain_scores(before, queries.table(spark, sf_dir, "labels").orderBy(F.xxhash64("doc_id")).collect())
+    assert all(abs(x - queries.QUALITY_BOUND) > 1e-5 for x in scores.values())
+    assert {r for r in after} == {r for r in before if scores[r.doc_id] >= queries.QUALITY_BOUND}
     before, after = kept["line_dedup"]
-    assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: r.text for r in linededup.drop_near_copies(before).collect()}
-    assert all(r.n_chars == len(r.text) for r in after.collect())
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(r.doc_id, r.text) for r in before], "doc_id bigint, text string").select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    want = test_copies.plain_line_dedup([(r.doc_id, hashes[r.doc_id], r.text) for r in before])
+    assert {(r.doc_id, r.text) for r in after} == {(r.doc_id, None if r.text is None else want[r.doc_id, hashes[r.doc_id]]) for r in before}
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
     before, after = kept["simhash"]
-    groups = simhash.similar_groups(before).collect()
-    assert {r.doc_id for r in after.collect()} == {r.component_id for r in groups}
+    before.sort(key=lambda r: r.doc_id)
+    groups = plain_groups([r.text for r in before])
+    assert {r for r in after} == {before[g] for g in set(groups)} and len(after) < len(before)
     before, after = kept["decontamination"]
-    assert after.count() <= before.count()
+    known = test_copies.plain_families([(r.item_id, r.text) for r in queries.table(spark, sf_dir, "benchmark").collect()])
+    assert {r for r in after} == {r for r in before if test_copies.plain_leaks(known, r.text)[0] is None} and len(after) < len(before)
     before, after = kept["sentencepiece"]
-    import sentencepiece
-
     library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
-    assert {r.doc_id: list(r.ids) for r in after.collect()} == {r.doc_id: library.encode(r.text) for r in before.collect()}
-    assert corpus_pipeline.run(spark, sf_dir).count() == after.count()
+    texts = {r.doc_id: r.text or "" for r in before}
+    assert len(after) == len(before)
+    for r in after:
+        ids = library.encode(texts[r.doc_id])
+        assert list(r.ids) == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        data = texts[r.doc_id].encode()
+        assert b"".join(data[a:b] for a, b in zip(r.begins, r.ends)) == data
+    assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == sorted(after)
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
@@ -309,3 +336,25 @@ def test_stages_on_awkward_rows(spark, sf_dir, name):
     if name not in ("quality", "simhash"):
         assert len(got) == len(rows)
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+CLASHES = "quality_score row item_id contaminated covered n_lines n_dropped h id own no_id whole order component __id __text __h __own __row n kept ids family".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_leave_other_columns_alone(spark, sf_dir, name):
+    stage, plain = dict(corpus_pipeline.STAGES)[name], queries.table(spark, sf_dir, "documents")
+    extra = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES}).withColumns({"a.b c": F.create_map(F.lit("k"), F.col("doc_id")), "n_tokens": F.lit("mine")})
+    got, want = stage(spark, extra, sf_dir), stage(spark, plain, sf_dir)
+    if name == "sentencepiece":
+        assert sorted(got.collect()) == sorted(want.collect())
+        return
+    rows = got.collect()
+    assert got.columns == extra.columns and rows
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES) and all(r["a.b c"] == {"k": r.doc_id} and r.n_tokens == "mine" for r in rows)
+    assert sorted((r.doc_id, r.text or "", r.n_chars) for r in rows) == sorted((r.doc_id, r.text or "", r.n_chars) for r in want.collect())
+
+
+def test_the_pipeline_leaves_its_result_only(spark, sf_dir):
+    before = len(tables._written)
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0 and len(tables._written) == before + 1
