@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import chain, materialise
 
 #: One word in so many may differ: of two lines one word apart both must have as many words. Shorter lines are copies of equal ones only.
 LEAST_WORDS = 8
@@ -123,7 +123,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__line_no").alias("line_no"))
     long = lines.where(F.col("__hash").isNotNull())
     firsts = materialise(long.groupBy(F.col("__hash").alias("hash")).agg(F.min(place).alias("first")), "first-lines")
-    gone = materialise(_near_copies(texts, lines, firsts), "near-copies")
+    gone = chain(lines, [("near-copies", lambda made: _near_copies(texts, made, firsts))])
     kept = firsts.join(gone, "hash", "left_anti").select("first.id", "first.h", "first.line_no")
     short = lines.where(F.col("__hash").isNull()).select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__line_no").alias("line_no"))
     kept = kept.unionByName(short).groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.collect_list("line_no"))).alias("__kept"))
