@@ -1,12 +1,12 @@
 """Frame rejection: fixed thresholds, median absolute deviation, and per-band dropout and striping.
 
-Each filter returns all frames with reason (NULL for kept ones), measured and threshold, as numbers; text is made by
+Each filter returns all frames with reason (NULL for kept ones), measured, threshold and, for ranges, low and high, as numbers; text is made by
 functions.text. Cheap rules on the catalog come before any pixel is read, and the first failing rule is the reason.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import MAD_FACTOR, MAD_SCALE, MAX_DROPOUT, MAX_STRIPE, Thresholds
@@ -61,8 +61,8 @@ def hard(frames: DataFrame, pixels: DataFrame | None = None, limits: Thresholds
     low, high = F.lit(limits.area_low) * F.col("median_area"), F.lit(limits.area_high) * F.col("median_area")
     rules = [
         ("skew", F.col("skew") > limits.skew_max, F.col("skew"), F.lit(limits.skew_max)),
-        ("area", F.col("area") < low, F.col("area"), low),
-        ("area", F.col("area") > high, F.col("area"), high),
+        ("area", F.col("area") < low, F.col("area"), low, low, high),
+        ("area", F.col("area") > high, F.col("area"), high, low, high),
         ("aspect", F.col("aspect") > limits.aspect_max, F.col("aspect"), F.lit(limits.aspect_max)),
     ]
     if pixels is not None:
@@ -84,9 +84,15 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def _judged(table: DataFrame, columns: list[str], rules: list[tuple[str, Column, Column, Column]]) -> DataFrame:
-    verdict = F.coalesce(*(F.when(bad, F.struct(F.lit(name).alias("reason"), measured.cast("double").alias("measured"), limit.cast("double").alias("threshold"))) for name, bad, measured, limit in rules))
-    return table.withColumn("__verdict", verdict).select(*columns, F.col("__verdict.reason").alias("reason"), F.col("__verdict.measured").alias("measured"), F.col("__verdict.threshold").alias("threshold"))
+def _verdict(name: str, *numbers: Column) -> Column:
+    """reason, measured, threshold, and low and high where a range is allowed."""
+    values = [*numbers, *[F.lit(None)] * (4 - len(numbers))]
+    return F.struct(F.lit(name).alias("reason"), *(x.cast("double").alias(c) for x, c in zip(values, ("measured", "threshold", "low", "high"), strict=True)))
+
+
+def _judged(table: DataFrame, columns: list[str], rules: list[tuple]) -> DataFrame:
+    verdict = F.coalesce(*(F.when(bad, _verdict(name, *numbers)) for name, bad, *numbers in rules))
+    return table.withColumn("__verdict", verdict).select(*columns, "__verdict.*")
 
 
 def adaptive(frames: DataFrame, factor: float = MAD_FACTOR) -> DataFrame:
@@ -96,34 +102,40 @@ def adaptive(frames: DataFrame, factor: float = MAD_FACTOR) -> DataFrame:
     table = sized.crossJoin(F.broadcast(spread))
     reach, real = F.lit(factor) * F.col("spread"), F.col("spread") > 0
     low, high = F.col("median_area") - reach, F.col("median_area") + reach
-    return _judged(table, frames.columns, [("area", real & (F.col("area") < low), F.col("area"), low), ("area", real & (F.col("area") > high), F.col("area"), high)])
+    return _judged(table, frames.columns, [("outlier", real & (F.col("area") < low), F.col("area"), low, low, high), ("outlier", real & (F.col("area") > high), F.col("area"), high, low, high)])
 
 
-def band_statistics(pixels: DataFrame, full: Column | None = None) -> DataFrame:
-    """dropout (share of zeros and of values at the type's maximum) and stripe (variance of column means against that of all values) by frame and band.
+def band_statistics(pixels: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """dropout (share of zeros and, in frames of integer types, of values at the type's maximum) and stripe (variance of column means against that of all values) by frame and band.
 
-    One shuffle by frame, band and column gives partial sums for both. stripe is NULL with fewer than two columns and 1 without variance.
+    frames gives dtype_max, NULL for other types. One shuffle by frame, band and column gives counts, means and squared deviations, which are combined
+    around the mean of all, so that neither a small scale nor a large offset cancels. stripe is NULL with fewer than two columns and 1 without variance.
     """
-    bad = F.col("v") == 0 if full is None else (F.col("v") == 0) | (F.col("v") == full)
-    columns = pixels.where(F.col("v").isNotNull()).groupBy("frame_id", "band", "x").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.sum("v").alias("total"), F.count_if(bad).alias("bad"))
-    mean = F.sum("total") / F.sum("n")
-    out = columns.groupBy("frame_id", "band").agg((F.sum("bad") / F.sum("n")).alias("dropout"), F.var_pop("mean").alias("between"), (F.sum("squares") / F.sum("n") - mean * mean).alias("within"), F.count(F.lit(1)).alias("columns"))
-    stripe = F.when(F.col("columns") >= 2, F.when(F.col("within") <= 1e-12, F.lit(1.0)).otherwise(F.col("between") / F.col("within")))
+    valid = pixels.where(F.col("v").isNotNull())
+    bad = F.col("v") == 0
+    if frames is not None and "dtype_max" in frames.columns:
+        valid = valid.join(frames.select("frame_id", "dtype_max"), "frame_id", "left")
+        bad = bad | F.coalesce(F.col("v") == F.col("dtype_max"), F.lit(False))
+    columns = valid.groupBy("frame_id", "band", "x").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), (F.var_pop("v") * F.count("v")).alias("inner"), F.count_if(bad).alias("bad"))
+    line = Window.partitionBy("frame_id", "band")
+    away = F.col("mean") - F.sum(F.col("n") * F.col("mean")).over(line) / F.sum("n").over(line)
+    columns = columns.withColumn("outer", F.col("n") * away * away)
+    out = columns.groupBy("frame_id", "band").agg((F.sum("bad") / F.sum("n")).alias("dropout"), F.var_pop("mean").alias("between"), ((F.sum("inner") + F.sum("outer")) / F.sum("n")).alias("all"), (F.sum("inner") + F.max("mean") - F.min("mean")).alias("varied"), F.count(F.lit(1)).alias("columns"))
+    # equal values have a mean that may be off by a rounding
+    flat = (F.col("all") <= 0) | (F.col("varied") <= 0)
+    stripe = F.when(F.col("columns") >= 2, F.when(flat, F.lit(1.0)).otherwise(F.col("between") / F.col("all")))
     return out.select("frame_id", "band", "dropout", stripe.alias("stripe"))
 
 
 def per_band(frames: DataFrame, pixels: DataFrame, max_dropout: float = MAX_DROPOUT, max_stripe: float = MAX_STRIPE) -> DataFrame:
     """The lowest failing band decides, dropout before stripe; a frame without valid values in a band has dropout 1 there."""
-    stats = band_statistics(pixels)
+    stats = band_statistics(pixels, frames)
     wanted = frames.select("frame_id", F.explode(F.sequence(F.lit(1), F.col("band_count"))).alias("band"))
     table = wanted.join(stats, ["frame_id", "band"], "left").withColumn("dropout", F.coalesce("dropout", F.lit(1.0)))
-    rule = F.coalesce(
-        F.when(F.col("dropout") > max_dropout, F.struct(F.lit("dropout").alias("reason"), F.col("dropout").alias("measured"), F.lit(max_dropout).alias("threshold"))),
-        F.when(F.col("stripe") > max_stripe, F.struct(F.lit("stripe").alias("reason"), F.col("stripe").alias("measured"), F.lit(max_stripe).alias("threshold"))),
-    )
+    rule = F.coalesce(*(F.when(F.col(c) > most, _verdict(c, F.col(c), F.lit(most), F.lit(0.0), F.lit(most))) for c, most in (("dropout", max_dropout), ("stripe", max_stripe))))
     first = table.withColumn("rule", rule).where(F.col("rule").isNotNull()).groupBy("frame_id").agg(F.min_by(F.struct("band", "rule"), "band").alias("x"))
     joined = frames.join(first, "frame_id", "left")
-    return joined.select(*frames.columns, F.col("x.rule.reason").alias("reason"), F.col("x.band").alias("band"), F.col("x.rule.measured").alias("measured"), F.col("x.rule.threshold").alias("threshold"))
+    return joined.select(*frames.columns, F.col("x.rule.reason").alias("reason"), F.col("x.band").alias("band"), *(F.col(f"x.rule.{c}").alias(c) for c in ("measured", "threshold", "low", "high")))
 
 
 def split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -166,15 +166,16 @@ def sink_count_raster(spark, sf_dir):
 
 
 _HARD = f"""WITH {_CAT}, j AS (SELECT frame_id, area, m, greatest(abs(b), abs(d)) / greatest(abs(a), abs(e)) AS skew, greatest(width, height)::DOUBLE / least(width, height) AS aspect FROM sized, med),
-r AS (SELECT frame_id, CASE WHEN skew > 5e-2 THEN 'skew' WHEN area < 5e-1 * m THEN 'area' WHEN area > 2 * m THEN 'area' WHEN aspect > 4 THEN 'aspect' END AS reason, CASE WHEN skew > 5e-2 THEN skew WHEN area < 5e-1 * m OR area > 2 * m THEN area WHEN aspect > 4 THEN aspect END AS measured, CASE WHEN skew > 5e-2 THEN 5e-2 WHEN area < 5e-1 * m THEN 5e-1 * m WHEN area > 2 * m THEN 2 * m WHEN aspect > 4 THEN 4e0 END AS threshold FROM j)"""
+r AS (SELECT frame_id, CASE WHEN skew > 5e-2 THEN 'skew' WHEN area < 5e-1 * m THEN 'area' WHEN area > 2 * m THEN 'area' WHEN aspect > 4 THEN 'aspect' END AS reason, CASE WHEN skew > 5e-2 THEN skew WHEN area < 5e-1 * m OR area > 2 * m THEN area WHEN aspect > 4 THEN aspect END AS measured, CASE WHEN skew > 5e-2 THEN 5e-2 WHEN area < 5e-1 * m THEN 5e-1 * m WHEN area > 2 * m THEN 2 * m WHEN aspect > 4 THEN 4e0 END AS threshold, m FROM j)"""
+_TOLD = _HARD + """, told AS (SELECT frame_id, CASE reason WHEN 'skew' THEN format('skewed transform (skew={:.3f} > {:.3f})', measured, threshold) WHEN 'area' THEN format('abnormal area (area={:.3g}, allowed=[{:.3g}, {:.3g}])', measured, 5e-1 * m, 2 * m) ELSE format('abnormal aspect ratio (ar={:.2f} > {:.2f})', measured, threshold) END AS reason_text,
+CASE reason WHEN 'skew' THEN format('{:.3f}', measured) WHEN 'area' THEN format('{:.3g}', measured) ELSE format('{:.2f}', measured) END AS measured_value, CASE reason WHEN 'skew' THEN format('{:.3f}', threshold) WHEN 'area' THEN format('[{:.3g}, {:.3g}]', 5e-1 * m, 2 * m) ELSE format('{:.2f}', threshold) END AS threshold FROM r WHERE reason IS NOT NULL)"""
 
 
-@query(_HARD + " SELECT CAST(frame_id AS VARCHAR) AS path, reason, round(measured, 6) AS measured_value, round(threshold, 6) AS threshold FROM r WHERE reason IS NOT NULL")
+@query(_TOLD + " SELECT CAST(frame_id AS VARCHAR) AS path, reason_text AS reason, measured_value, threshold FROM told")
 def sink_rejected_csv(spark, sf_dir):
     path = fresh_path(spark, "rejected")
     rasters.write_rejected(rasters.rejected_rows(filters.hard(views.catalog(spark, sf_dir))), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.select("path", "reason", _r(F.col("measured_value").cast("double"), "measured_value"), _r(F.col("threshold").cast("double"), "threshold"))
+    return spark.read.option("header", True).csv(path)
 
 
 @query(_HARD + " SELECT 0 AS part, 'kept ' || count(*) FILTER (reason IS NULL) || ' / rejected ' || count(reason) || ' / total ' || count(*) AS value FROM r UNION ALL SELECT CASE WHEN reason IS NULL THEN 2 ELSE 1 END, concat_ws(chr(9), CAST(frame_id AS VARCHAR), reason) FROM r")
@@ -273,23 +274,23 @@ def filter_presets(spark, sf_dir):
 
 
 @query(f"""WITH {_CAT}, dev AS (SELECT 14826e-4 * quantile_cont(abs(area - m), 0.5) AS s FROM sized, med)
-SELECT frame_id, CASE WHEN s > 0 AND (area < m - 3 * s OR area > m + 3 * s) THEN 'area' END AS reason FROM sized, med, dev""")
+SELECT frame_id, CASE WHEN s > 0 AND (area < m - 3 * s OR area > m + 3 * s) THEN 'outlier' END AS reason FROM sized, med, dev""")
 def filter_v2_mad(spark, sf_dir):
     return filters.adaptive(views.catalog(spark, sf_dir)).select("frame_id", "reason")
 
 
 _BANDS = f"""WITH {_LI}, c AS (SELECT frame_id, band, x, avg(v) AS mean FROM px GROUP BY 1, 2, 3), b AS (SELECT frame_id, band, var_pop(mean) AS between_, count(*) AS k FROM c GROUP BY 1, 2),
-s AS (SELECT frame_id, band, avg((v = 0)::INT::DOUBLE) AS dropout, var_pop(v) AS within_ FROM px GROUP BY 1, 2), m AS (SELECT frame_id, band, dropout, CASE WHEN k >= 2 THEN CASE WHEN within_ <= 1e-12 THEN 1e0 ELSE between_ / within_ END END AS stripe FROM s JOIN b USING (frame_id, band))"""
+s AS (SELECT frame_id, band, avg((v = 0 OR v = 50)::INT::DOUBLE) AS dropout, var_pop(v) AS within_ FROM px GROUP BY 1, 2), m AS (SELECT frame_id, band, dropout, CASE WHEN k >= 2 THEN CASE WHEN within_ <= 0 THEN 1e0 ELSE between_ / within_ END END AS stripe FROM s JOIN b USING (frame_id, band))"""
 
 
 @query(_BANDS + " SELECT frame_id, band, round(dropout, 6) AS dropout FROM m")
 def filter_v3_dropout(spark, sf_dir):
-    return filters.band_statistics(views.frame_pixels(spark, sf_dir)).select("frame_id", "band", _r("dropout"))
+    return filters.band_statistics(views.frame_pixels(spark, sf_dir), views.frames(spark, sf_dir)).select("frame_id", "band", _r("dropout"))
 
 
 @query(_BANDS + " SELECT frame_id, band, round(stripe, 6) AS stripe FROM m")
 def filter_v3_stripe(spark, sf_dir):
-    return filters.band_statistics(views.frame_pixels(spark, sf_dir)).select("frame_id", "band", _r("stripe"))
+    return filters.band_statistics(views.frame_pixels(spark, sf_dir), views.frames(spark, sf_dir)).select("frame_id", "band", _r("stripe"))
 
 
 @query(_BANDS + """, bad AS (SELECT frame_id, band, CASE WHEN dropout > 85e-3 THEN 'dropout' WHEN stripe > 3e-2 THEN 'stripe' END AS reason FROM m)
@@ -298,18 +299,21 @@ def filter_v3_per_band(spark, sf_dir):
     return filters.per_band(views.frames(spark, sf_dir), views.frame_pixels(spark, sf_dir), 0.085, 0.03).select("frame_id", "reason", "band")
 
 
-@query()
+def _sentence():
+    return text.reason_text(*(F.col(c) for c in ("reason", "measured", "threshold", "low", "high")))
+
+
+@query(_TOLD + " SELECT frame_id, reason_text FROM told")
 def reason_text(spark, sf_dir):
     judged = filters.split(filters.hard(views.catalog(spark, sf_dir)))[1]
-    return judged.select("frame_id", text.reason_text(F.col("reason"), F.col("measured"), F.col("threshold")).alias("reason_text"))
+    return judged.select("frame_id", _sentence().alias("reason_text"))
 
 
-@query(_HARD + " SELECT frame_id, abs(measured) > 0 AS has_measured, TRUE AS close FROM r WHERE reason IS NOT NULL")
+@query(_TOLD + " SELECT frame_id, measured_value, threshold FROM told")
 def reason_parse(spark, sf_dir):
     judged = filters.split(filters.hard(views.catalog(spark, sf_dir)))[1]
-    measured, threshold = text.parse_reason(text.reason_text(F.col("reason"), F.col("measured"), F.col("threshold")))
-    close = (F.abs(measured - F.col("measured")) <= 0.0051) & (F.abs(threshold - F.col("threshold")) <= 0.0051)
-    return judged.select("frame_id", (F.abs(measured) > 0).alias("has_measured"), close.alias("close"))
+    measured, threshold = text.parse_reason(_sentence())
+    return judged.select("frame_id", measured.alias("measured_value"), threshold.alias("threshold"))
 
 
 @query(_HARD + " SELECT 'kept' AS part, count(*) AS n FROM r WHERE reason IS NULL UNION ALL SELECT 'rejected', count(*) FROM r WHERE reason IS NOT NULL")

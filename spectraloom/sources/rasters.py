@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import parse_reason, reason_text
+
 
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; Spark's AnalysisException names a path that doesn't exist."""
@@ -52,14 +54,17 @@ def read_raster_if(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_rejected(rejected: DataFrame, path: str) -> None:
-    """CSV with a header, also when nothing is rejected."""
-    rejected.select("path", "reason", "measured_value", "threshold").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header, also when nothing is rejected; what comes before the write keeps its own tasks."""
+    rejected.select("path", "reason", "measured_value", "threshold").repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def rejected_rows(judged: DataFrame) -> DataFrame:
-    """(path, reason, measured_value, threshold) of rejected frames, as text."""
+    """(path, reason, measured_value, threshold) of rejected frames, as text: the sentence and what it says."""
     path = F.col("path") if "path" in judged.columns else F.col("frame_id").cast("string")
-    return judged.where(F.col("reason").isNotNull()).select(path.alias("path"), "reason", F.col("measured").cast("string").alias("measured_value"), F.col("threshold").cast("string").alias("threshold"))
+    band = F.col("band") if "band" in judged.columns else None
+    told = judged.where(F.col("reason").isNotNull()).select(path.alias("path"), reason_text(*(F.col(c) for c in ("reason", "measured", "threshold", "low", "high")), band).alias("reason"))
+    measured, threshold = parse_reason(F.col("reason"))
+    return told.select("path", "reason", measured.alias("measured_value"), threshold.alias("threshold"))
 
 
 def filter_report(judged: DataFrame) -> DataFrame:

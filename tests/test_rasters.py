@@ -87,12 +87,38 @@ def test_band_filter(spark):
     assert got[3] == ("dropout", 0.4) and got[4] == (None, None) and got[5] == ("dropout", 1.0)
 
 
+def test_band_filter_by_type_and_scale(spark):
+    rng = np.random.default_rng(2)
+    good = rng.integers(1, 60000, (20, 20))
+    burnt = good.copy()
+    burnt[:10] = 65535
+    tiny, offset = rng.random((20, 20)) * 1e-7, rng.random((20, 20)) + 1e9
+    grids = {1: good.tolist(), 2: burnt.tolist(), 3: tiny.tolist(), 4: offset.tolist(), 5: [[0.1] * 20] * 20, 6: burnt.tolist()}
+    table = frames(spark, *(frame(i, 20, 20, dtype="uint16", full=65535.0) for i in (1, 2)), *(frame(i, 20, 20, dtype="float64", full=None) for i in (3, 4, 5, 6)))
+    got = {r.frame_id: (r.reason, r.measured) for r in filters.per_band(table, pixels(spark, grids)).collect()}
+    # only integer types have a largest value that means saturation
+    assert got[1][0] is None and got[2] == ("dropout", 0.5) and got[3][0] is None and got[4][0] is None and got[5] == ("stripe", 1.0) and got[6][0] is None
+    for i in (3, 4):
+        x = np.array(grids[i])
+        assert {r.frame_id: r.stripe for r in filters.band_statistics(pixels(spark, grids), table).collect()}[i] == pytest.approx(x.mean(axis=0).var() / x.var(), rel=1e-6)
+
+
 def test_reasons_as_text(spark):
-    df = spark.createDataFrame([("skew", 0.125, 0.05), ("area", 1234.5, 600.0), (None, None, None), ("skew", math.inf, 0.05)], "reason string, m double, t double")
-    got = [r[0] for r in df.select(text.reason_text(F.col("reason"), F.col("m"), F.col("t"))).collect()]
-    assert got == ["skew 0.125 > 0.050", "area 1234.50 outside limit 600.00", None, "skew inf > 0.050"]
-    measured, threshold = text.parse_reason(F.lit(got[1]))
-    assert tuple(spark.range(1).select(measured, threshold).first()) == (1234.5, 600.0)
+    df = spark.createDataFrame([("skew", 0.125, 0.05, None, None), ("area", 1234.5, 600.0, 600.0, 2400.0), (None, None, None, None, None), ("skew", math.inf, 0.05, None, None), ("dropout", 0.405, 0.3, 0.0, 0.3), ("outlier", 12.0, 55.25, 55.25, 1e7)], "reason string, measured double, threshold double, low double, high double")
+    told = text.reason_text(*(F.col(c) for c in df.columns), F.lit(7))
+    got = [r[0] for r in df.select(told).collect()]
+    assert got == ["skewed transform (skew=0.125 > 0.050)", "abnormal area (area=1.23e+03, allowed=[600, 2.4e+03])", None, "skewed transform (skew=inf > 0.050)", "band 7 dropout (frac=0.41, allowed=[0, 0.30])", "area outlier vs MAD band (area=12, allowed=[55.2, 1e+07])"]
+    parsed = [tuple(r) for r in df.select(*text.parse_reason(told)).collect()]
+    assert parsed == [("0.125", "0.050"), ("1.23e+03", "[600, 2.4e+03]"), ("", ""), ("inf", "0.050"), ("0.41", "[0, 0.30]"), ("12", "[55.2, 1e+07]")]
+
+
+def test_numbers_as_text(spark):
+    rng = np.random.default_rng(0)
+    values = [0.0, 1.0, -2.5, 0.125, 2.675, 999.4, 999.5, 999.6, 1005.0, 1015.0, 123456.0, 1e-4, 0.00012345, 9.996e-5, 1e-7, 1e22, math.inf, -math.inf, math.nan, 0.0575, 100.0, 1e5, *(rng.random(300) * 10.0 ** rng.integers(-6, 9, 300)).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for r in df.select("i", text.fixed(F.col("v"), 2).alias("a"), text.fixed(F.col("v"), 3).alias("b"), text.significant(F.col("v")).alias("c")).collect():
+        v = values[r.i]
+        assert (r.a, r.b, r.c) == (f"{v:.2f}", f"{v:.3f}", f"{v:.3g}"), v
 
 
 def test_two_frames(spark):
