@@ -143,13 +143,27 @@ def fill(pixels: DataFrame, mask: DataFrame | None = None, reach: float = 10.0,
     return _mixed(smoothed.withColumnRenamed("v", "__s").join(filled.select("band", "y", "x", "v"), ["band", "y", "x"])).select("band", "y", "x", F.when(F.col("__mixed"), F.col("__s")).otherwise(F.col("v")).alias("v"), "is_src")
 
 
-def fill_tiled(pixels: DataFrame, mask: DataFrame | None = None, reach: float = 10.0, tile: int = 64) -> DataFrame:
-    """inverse_distance() over tiles with a halo of reach cells: bounded memory for any canvas.
-
-    Differs from whole columns in rare cells, as the greedy tracker of a tile doesn't see sources beyond its halo.
+def _smoothed(v: np.ndarray, src: np.ndarray) -> np.ndarray:
+    """Means over the valid cells of the 3 x 3 neighbourhood, for cells that aren't sources."""
+    wide = np.pad(v, 1, constant_values=np.nan)
+    total, count = np.zeros(v.shape), np.zeros(v.shape)
+    for dy in range(3):
+        for dx in range(3):
+            near = wide[dy : dy + v.shape[0], dx : dx + v.shape[1]]
+            total += np.nan_to_num(near)
+            count += ~np.isnan(near)
+    return np.where(src, v, np.where(count > 0, total / np.maximum(count, 1), np.nan))
+
+
+def fill_tiled(pixels: DataFrame, mask: DataFrame | None = None, reach: float = 10.0, passes: int = 0, tile: int | None = None) -> DataFrame:
+    """inverse_distance() and smooth() over tiles with a halo of reach + passes cells: bounded memory for any canvas.
+
+    A tile is four times the halo wide, 64 cells at least, so that each cell is copied about twice. Differs from whole columns in rare cells, as the greedy
+    tracker of a tile doesn't see sources beyond its halo. Bands with only or without any sources are left alone.
     """
-    halo = int(reach)
-    cells = dense(pixels, mask)
+    halo = int(reach) + int(passes)
+    tile = max(64, 4 * halo) if tile is None else tile
+    cells = _mixed(dense(pixels, mask))
 
     def tiles(c: str) -> Column:
         return F.sequence(F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0)), F.floor((F.col(c) + halo) / tile))
@@ -163,20 +177,25 @@ def fill_tiled(pixels: DataFrame, mask: DataFrame | None = None, reach: float =
         shape = (ys.max() + 1, xs.max() + 1)
         v, src = np.full(shape, np.nan), np.zeros(shape, dtype=bool)
         v[ys, xs], src[ys, xs] = frame["v"].to_numpy(dtype=np.float64, na_value=np.nan), frame["is_src"].to_numpy()
-        columns = np.arange(shape[1], dtype=np.float64)
-        west = np.maximum.accumulate(np.where(src, columns, -1), axis=1)
-        east = np.minimum.accumulate(np.where(src, columns, shape[1])[:, ::-1], axis=1)[:, ::-1]
-        top_sum, bottom_sum = np.zeros(shape), np.zeros(shape)
-        for side, none in ((west, -1), (east, shape[1])):
-            at = np.where(side == none, np.nan, side)
-            seen = np.take_along_axis(v, np.where(side == none, 0, side).astype(np.int64), axis=1)
-            for downwards in (True, False):
-                values, distances = _swept(at, seen, columns, downwards)
-                ok = np.isfinite(values) & (distances <= reach) & (distances > 0)
-                weight = np.where(ok, 1 / np.where(ok, distances, 1) ** 2, 0)
-                top_sum += np.where(ok, values, 0) * weight
-                bottom_sum += weight
-        filled = np.where(src, v, np.where(bottom_sum > 0, top_sum / np.where(bottom_sum > 0, bottom_sum, 1), np.nan))
+        filled = v
+        if frame["__mixed"].iloc[0]:
+            columns = np.arange(shape[1], dtype=np.float64)
+            west = np.maximum.accumulate(np.where(src, columns, -1), axis=1)
+            east = np.minimum.accumulate(np.where(src, columns, shape[1])[:, ::-1], axis=1)[:, ::-1]
+            top_sum, bottom_sum = np.zeros(shape), np.zeros(shape)
+            for side, none in ((west, -1), (east, shape[1])):
+                at = np.where(side == none, np.nan, side)
+                seen = np.take_along_axis(v, np.where(side == none, 0, side).astype(np.int64), axis=1)
+                for downwards in (True, False):
+                    values, distances = _swept(at, seen, columns, downwards)
+                    ok = np.isfinite(values) & (distances <= reach) & (distances > 0)
+                    weight = np.where(ok, 1 / np.where(ok, distances, 1) ** 2, 0)
+                    top_sum += np.where(ok, values, 0) * weight
+                    bottom_sum += weight
+            filled = np.where(src, v, np.where(bottom_sum > 0, top_sum / np.where(bottom_sum > 0, bottom_sum, 1), np.nan))
+            # the outermost cells of the halo lack neighbours, one ring more in each pass; the tile itself is passes away from them
+            for _ in range(passes):
+                filled = _smoothed(filled, src)
         out = frame[["band", "y", "x", "is_src"]].copy()
         out["v"] = filled[ys, xs]
         return out[(frame["y"] // tile == ty) & (frame["x"] // tile == tx)]

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialise
+
 FIELDS = ("roll", "pitch", "yaw", "lon", "lat", "alt")
 MOST_APART = 0.5
 # fixed values: the WGS-84 ellipsoid
@@ -163,17 +165,26 @@ def require_below(poses: DataFrame, ground_alt: float) -> None:
 def dem_ground(poses: DataFrame, samples: int, fov_deg: float, dem: DataFrame, left: float, top: float, xres: float, yres: float, fallback_alt: float = 0.0, rounds: int = 8, tolerance: float = 0.25, **sensor) -> DataFrame:
     """Like flat_ground() on a terrain model dem(y, x, alt): each round samples the terrain, nearest cell, under the point of the round before.
 
-    A line whose heights all moved by tolerance at most is done and keeps them. Off the model the fallback height counts. Every round is an equi-join.
+    A line whose heights all moved by tolerance at most is done, keeps them and leaves the rounds, which end when no line is left. Off the model the
+    fallback height counts. Every round is an equi-join on what is left, written to the shared folder.
     """
-    cells = rays(poses, samples, fov_deg, **sensor).withColumns({"h": F.lit(float(fallback_alt)), "done": F.lit(False)})
-    line = Window.partitionBy("line_id", "line")
+    left_over = rays(poses, samples, fov_deg, **sensor).withColumn("h", F.lit(float(fallback_alt)))
+    columns, line = left_over.columns, Window.partitionBy("line_id", "line")
     terrain = dem.select(F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("alt").alias("__h"))
-    for _ in range(rounds):
-        hit = _hits(cells, F.col("h")).withColumns({"__y": F.floor((F.lit(top) - F.col("glat")) / yres).cast("int"), "__x": F.floor((F.col("glon") - left) / xres).cast("int")})
+    parts = []
+    for k in range(rounds):
+        hit = _hits(left_over, F.col("h")).withColumns({"__y": F.floor((F.lit(top) - F.col("glat")) / yres).cast("int"), "__x": F.floor((F.col("glon") - left) / xres).cast("int")})
         seen = hit.join(terrain, ["__y", "__x"], "left").withColumn("__new", F.coalesce("__h", F.lit(float(fallback_alt))))
         still = F.max(F.when(F.col("valid"), F.abs(F.col("__new") - F.col("h")))).over(line) <= tolerance
-        seen = seen.withColumns({"h": F.when(F.col("done"), F.col("h")).otherwise(F.col("__new")), "__done": F.col("done") | F.coalesce(still, F.lit(True))})
-        cells = seen.select(*[c for c in cells.columns if c not in ("h", "done")], "h", F.col("__done").alias("done"))
+        seen = seen.withColumns({"h": F.col("__new"), "__done": F.coalesce(still, F.lit(True))}).select(*columns, F.col("__done").alias("done"))
+        seen = materialise(seen, "terrain-round")
+        parts.append(seen.where("done"))
+        left_over = seen.where("NOT done").drop("done")
+        if k == rounds - 1 or left_over.isEmpty():
+            break
+    cells = left_over.withColumn("done", F.lit(False))
+    for part in parts:
+        cells = cells.unionByName(part)
     found = _hits(cells, F.col("h"))
     return found.select("line_id", "line", "sample", F.col("glon").alias("lon"), F.col("glat").alias("lat"), F.col("galt").alias("alt"), (F.col("valid") & F.col("done")).alias("valid"))
 

@@ -7,18 +7,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import crs
+from ..functions.crs import CODES
+from ..tables import materialise
+
 TOLERANCE = 1e-6
+#: Points on each edge of a frame whose places in another system bound the frame there.
+EDGE = 21
 
 
 def violations(frames: DataFrame, reproject: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
     """(frame_id, problem) of frames that don't go with the first one: crs, resolution, bands or dtype, in this order.
 
+    With reproject only systems that functions.crs doesn't know are a problem, unless they equal the first frame's.
     The first frame is one row, so the product with it is bounded. No frame at all gives no row; require() tells that apart.
     """
     names = ("crs", "a", "e", "band_count", "dtype")
+    known = lambda c: F.coalesce(F.regexp_like(c, F.lit(CODES)), F.lit(False))
     first = frames.agg(F.min_by(F.struct(*names), "frame_id").alias("ref"))
     far = lambda c: F.abs(F.abs(c) - F.abs(F.col(f"ref.{c}"))) > tolerance * F.abs(F.col(f"ref.{c}"))
-    rules = [] if reproject else [F.when(~F.col("crs").eqNullSafe(F.col("ref.crs")), "crs"), F.when(far("a") | far("e"), "resolution")]
+    other = ~F.col("crs").eqNullSafe(F.col("ref.crs"))
+    rules = [F.when(other & ~(known("crs") & known("ref.crs")), "crs")] if reproject else [F.when(other, "crs"), F.when(far("a") | far("e"), "resolution")]
     rules += [F.when(F.col("band_count") != F.col("ref.band_count"), "bands"), F.when(F.col("dtype") != F.col("ref.dtype"), "dtype")]
     return frames.crossJoin(F.broadcast(first)).select("frame_id", F.coalesce(*rules).alias("problem")).where(F.col("problem").isNotNull())
 
@@ -111,11 +120,17 @@ def provenance(sources_: DataFrame, frames: DataFrame | None = None, name: str =
 def distance(valid: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """(keys, y, x, distance): exact Euclidean distance of valid cells to the nearest invalid one on the canvas.
 
-    The canvas' border isn't an edge; without any invalid cell the distance is infinite. valid has a row for each valid cell. Two separable passes: the
+    The canvas' border isn't an edge; without any invalid cell the distance is infinite. valid has a row for each valid cell. Only the box of a key's valid
+    cells and a ring of one cell around it, as far as the canvas goes, are looked at: what lies farther out is farther than the ring. Two separable passes: the
     nearest invalid row in each column by windows, then the least of dx^2 + g^2 along each row, in numpy for blocks of whole rows.
     """
-    every = _cells(valid.select(*keys).distinct().select(*keys, F.lit(height).alias("h"), F.lit(width).alias("w")), keys)
-    cells = every.join(valid.select(*keys, "y", "x", F.lit(True).alias("ok")), [*keys, "y", "x"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    found = valid.select(*keys, "y", "x")
+    ends = lambda c, most: (F.greatest(F.min(c) - 1, F.lit(0)).cast("int"), F.least(F.max(c) + 1, F.lit(most - 1)).cast("int"))
+    (y0, y1), (x0, x1) = ends("y", height), ends("x", width)
+    boxes = found.groupBy(*keys).agg(y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1"))
+    every = _cells(boxes.select(*keys, "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("h"), (F.col("x1") - F.col("x0") + 1).alias("w")), [*keys, "y0", "x0"])
+    every = every.select(*keys, (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
+    cells = every.join(found.withColumn("ok", F.lit(True)), [*keys, "y", "x"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     column = Window.partitionBy(*keys, "x").orderBy("y")
     gone = F.when(~F.col("ok"), F.col("y"))
     up = F.last(gone, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
@@ -130,8 +145,9 @@ def distance(valid: DataFrame, keys: list[str], height: int, width: int) -> Data
 
 def _row_pass(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Least of dx^2 + g^2 along whole rows: offsets grow until none can be nearer."""
-    top, width = int(frame["y"].min()), int(frame["x"].max()) + 1
-    ys, xs = frame["y"].to_numpy() - top, frame["x"].to_numpy()
+    top, left = int(frame["y"].min()), int(frame["x"].min())
+    ys, xs = frame["y"].to_numpy() - top, frame["x"].to_numpy() - left
+    width = int(xs.max()) + 1
     g = np.full((ys.max() + 1, width), np.inf)
     g[ys, xs] = frame["g"].to_numpy(dtype=np.float64, na_value=np.inf)
     ok = np.zeros(g.shape, dtype=bool)
@@ -144,10 +160,21 @@ def _row_pass(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         best[:, dx:] = np.minimum(best[:, dx:], squares[:, :-dx] + dx * dx)
         best[:, :-dx] = np.minimum(best[:, :-dx], squares[:, dx:] + dx * dx)
     out = frame.loc[ok[ys, xs], [*keys, "y", "x"]].copy()
-    out["distance"] = np.sqrt(best[out["y"].to_numpy() - top, out["x"].to_numpy()])
+    out["distance"] = np.sqrt(best[ys, xs][ok[ys, xs]])
     return out
 
 
+def _band_distance(found: DataFrame, height: int, width: int) -> DataFrame:
+    """(frame_id, band, y, x, distance) of valid cells; bands of a frame that are valid at the same cells share one distance."""
+    cell = F.xxhash64("y", "x")
+    half = F.lit(0xFFFFFFFF).cast("bigint")
+    alike = found.groupBy("frame_id", "band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(cell).alias("p"), F.sum(cell.bitwiseAND(half)).alias("q"))
+    alike = materialise(alike.withColumn("like", F.min("band").over(Window.partitionBy("frame_id", "n", "p", "q"))).select("frame_id", "band", "like"), "bands-alike")
+    firsts = alike.where(F.col("band") == F.col("like")).select("frame_id", "band")
+    depth = distance(found.join(firsts, ["frame_id", "band"], "left_semi"), ["frame_id", "band"], height, width)
+    return depth.withColumnRenamed("band", "like").join(alike, ["frame_id", "like"]).drop("like")
+
+
 def best_pixel(pixels: DataFrame, height: int, width: int, per_band: bool = True, bands: int | None = None) -> DataFrame:
     """(band, y, x, v, source_id): the frame in whose valid area a pixel lies deepest; the earlier one on ties.
 
@@ -155,7 +182,7 @@ def best_pixel(pixels: DataFrame, height: int, width: int, per_band: bool = True
     """
     found = pixels.where(F.col("v").isNotNull())
     if per_band:
-        depth = distance(found.select("frame_id", "band", "y", "x"), ["frame_id", "band"], height, width)
+        depth = _band_distance(found.select("frame_id", "band", "y", "x"), height, width)
         scored = found.join(depth, ["frame_id", "band", "y", "x"])
     else:
         whole = found.groupBy("frame_id", "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == bands).drop("n")
@@ -171,16 +198,63 @@ def resample(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """
     ref = frames.agg(F.min_by("a", "frame_id").alias("ra"), F.min_by(-F.col("e"), "frame_id").alias("re"))
     scaled = frames.crossJoin(F.broadcast(ref)).select("frame_id", (F.col("ra") / F.col("a")).alias("sx"), (F.col("re") / -F.col("e")).alias("sy"), F.greatest(F.lit(1), F.rint(F.col("width") * F.col("a") / F.col("ra")).cast("int")).alias("w"), F.greatest(F.lit(1), F.rint(F.col("height") * -F.col("e") / F.col("re")).cast("int")).alias("h"))
-    cells = scaled.select("frame_id", "sx", "sy", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("frame_id", "sx", "sy", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    py, px = (F.col("y") + 0.5) * F.col("sy") - 0.5, (F.col("x") + 0.5) * F.col("sx") - 0.5
+    cells = _cells(scaled, ["frame_id", "sx", "sy"])
+    return _bilinear(pixels, cells, (F.col("y") + 0.5) * F.col("sy") - 0.5, (F.col("x") + 0.5) * F.col("sx") - 0.5)
+
+
+def _bilinear(pixels: DataFrame, cells: DataFrame, py: Column, px: Column) -> DataFrame:
+    """(frame_id, band, y, x, v) of cells (frame_id, y, x) whose centres are at row py and column px of their frame."""
     corner = lambda p, k: (F.floor(p) + k).cast("int")
     weight = lambda p, k: (p - F.floor(p)) if k else (1 - (p - F.floor(p)))
-    four = F.array(*(F.struct(corner(py, j).alias("sy_"), corner(px, i).alias("sx_"), (weight(py, j) * weight(px, i)).alias("weight")) for j in (0, 1) for i in (0, 1)))
-    around = cells.select("frame_id", "y", "x", F.inline(four)).where(F.col("weight") > 0)
+    py_, px_ = F.col("__py"), F.col("__px")
+    four = F.array(*(F.struct(corner(py_, j).alias("sy_"), corner(px_, i).alias("sx_"), (weight(py_, j) * weight(px_, i)).alias("weight")) for j in (0, 1) for i in (0, 1)))
+    around = cells.select("frame_id", "y", "x", py.alias("__py"), px.alias("__px")).select("frame_id", "y", "x", F.inline(four)).where(F.col("weight") > 0)
     source = pixels.where(F.col("v").isNotNull()).select("frame_id", "band", F.col("y").alias("sy_"), F.col("x").alias("sx_"), "v")
     return around.join(source, ["frame_id", "sy_", "sx_"]).groupBy("frame_id", "band", "y", "x").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("v"))
 
 
+def warped_frames(frames: DataFrame) -> DataFrame:
+    """The catalog on the first frame's grid: crs and pixel size are its, origin and size of frames of other systems bound what their edges become.
+
+    Frames of the same system keep their origin. The different systems, a few codes, come to the driver; frames of unknown ones are left out (see violations()).
+    """
+    ref = frames.orderBy("frame_id").limit(1).select("crs", "a", "e").first()
+    if ref is None:
+        return frames
+    codes = _codes(frames, ref.crs)
+    share = F.transform(F.sequence(F.lit(0), F.lit(EDGE - 1)), lambda k: k / (EDGE - 1))
+    edges = F.flatten(F.transform(share, lambda k: F.array(F.struct(k.alias("i"), F.lit(0.0).alias("j")), F.struct(k.alias("i"), F.lit(1.0).alias("j")), F.struct(F.lit(0.0).alias("i"), k.alias("j")), F.struct(F.lit(1.0).alias("i"), k.alias("j")))))
+    points = frames.where(F.col("crs").isin(codes)).select("frame_id", "crs", "a", "c", "e", "f", "width", "height", F.inline(edges))
+    x, y = crs.moved(F.col("c") + F.col("i") * F.col("width") * F.col("a"), F.col("f") + F.col("j") * F.col("height") * F.col("e"), F.col("crs"), codes, ref.crs)
+    box = points.select("frame_id", x.alias("x"), y.alias("y")).groupBy("frame_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    same = F.col("crs") == ref.crs
+    size = lambda own, far, step: F.greatest(F.lit(1), F.when(same, F.rint(own)).otherwise(F.ceil(far / step - 1e-9)).cast("int"))
+    joined = frames.join(box, "frame_id")
+    changed = {"width": size(F.col("width") * F.col("a") / ref.a, F.col("x1") - F.col("x0"), ref.a), "height": size(F.col("height") * F.col("e") / ref.e, F.col("y1") - F.col("y0"), -ref.e), "c": F.when(same, F.col("c")).otherwise(F.col("x0")), "f": F.when(same, F.col("f")).otherwise(F.col("y1")), "a": F.lit(ref.a), "e": F.lit(ref.e), "crs": F.lit(ref.crs)}
+    return joined.select(*(changed[k].alias(k) if k in changed else F.col(k) for k in frames.columns))
+
+
+def _codes(frames: DataFrame, ref: str) -> list[str]:
+    return [r.crs for r in frames.select("crs").distinct().collect() if r.crs is not None and (r.crs == ref or crs.parsed(r.crs) and crs.parsed(ref))]
+
+
+def warp(pixels: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pixels and catalog of all frames in the first frame's system and pixel size; bilinear, weights of invalid or missing cells left out.
+
+    Each cell of a frame's new grid is looked up, through its centre, where it lies in the frame's own one; rows of cells are dealt to all tasks.
+    """
+    ref = frames.orderBy("frame_id").limit(1).select("crs").first()
+    if ref is None:
+        return pixels, frames
+    target = materialise(warped_frames(frames), "warped-frames")
+    own = frames.select("frame_id", F.col("crs").alias("__crs"), F.col("a").alias("__a"), F.col("e").alias("__e"), F.col("c").alias("__c"), F.col("f").alias("__f"))
+    grids = target.join(own, "frame_id").select("frame_id", "a", "e", "c", "f", "__crs", "__a", "__e", "__c", "__f", F.col("width").alias("w"), F.col("height").alias("h"))
+    cells = _cells(grids, [k for k in grids.columns if k not in ("w", "h")])
+    x, y = crs.moved_back(F.col("c") + (F.col("x") + 0.5) * F.col("a"), F.col("f") + (F.col("y") + 0.5) * F.col("e"), ref.crs, F.col("__crs"), _codes(frames, ref.crs))
+    placed = cells.withColumns({"__u": x, "__w": y})
+    return _bilinear(pixels, placed, (F.col("__w") - F.col("__f")) / F.col("__e") - 0.5, (F.col("__u") - F.col("__c")) / F.col("__a") - 0.5), target
+
+
 def rgb_bands(count: int) -> tuple[int, int, int]:
     """Bands shown as red, green and blue: 40, 25 and 12 % of the way; all the first below three bands."""
     if count < 3:

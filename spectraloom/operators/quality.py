@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import crs
+from ..functions.percentiles import percentiles
+from ..tables import materialise
+from .mosaic import grid as whole_grid
+
 _INF = float("inf")
 #: Metrics of which the smallest band is the worst.
 LOW_IS_BAD = ("psnr", "ssim")
@@ -25,6 +30,19 @@ def align(reference: DataFrame, ref_grid: tuple[float, float, float, float], gri
     return source.join(ys, "sy_").join(xs, "sx_").select("band", "y", "x", "v")
 
 
+def align_warped(reference: DataFrame, ref_grid: tuple[float, float, float, float], ref_crs: str, grid: tuple[float, float, float, float], target_crs: str, height: int, width: int) -> DataFrame:
+    """align() for a reference in another system: each target cell takes the reference cell that its centre lies in. ValueError for unknown systems.
+
+    Rows of cells are dealt to all tasks; the places depend on no band, so they are made once and every band joins them.
+    """
+    left, top, sx, sy = grid
+    rleft, rtop, rsx, rsy = ref_grid
+    cells = whole_grid(reference, height, width)
+    x, y = crs.from_geographic(*crs.to_geographic(F.lit(left) + (F.col("x") + 0.5) * F.lit(sx), F.lit(top) - (F.col("y") + 0.5) * F.lit(sy), target_crs), ref_crs)
+    places = cells.select("y", "x", F.floor((F.lit(rtop) - y) / F.lit(rsy)).cast("int").alias("sy_"), F.floor((x - F.lit(rleft)) / F.lit(rsx)).cast("int").alias("sx_"))
+    return reference.select("band", F.col("y").alias("sy_"), F.col("x").alias("sx_"), "v").join(places, ["sy_", "sx_"]).select("band", "y", "x", "v")
+
+
 def _finite(c: str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < _INF), F.col(c))
 
@@ -172,11 +190,17 @@ def seam_jumps(mosaic: DataFrame, sources: DataFrame, strict: bool = False) -> D
 
 
 def seam_statistics(mosaic: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
-    """(band, n, mean, median, p95, max) by band and, with a NULL band, pooled; pooled zeros without seams."""
-    jumps = seam_jumps(mosaic, sources, strict)
-    stats = jumps.rollup("band").agg(F.count("jump").alias("n"), F.avg("jump").alias("mean"), F.expr("percentile(jump, 0.5)").alias("median"), F.expr("percentile(jump, 0.95)").alias("p95"), F.max("jump").alias("max"))
-    # a rollup of nothing has no pooled row, so one of zeros goes in; no figure is below it
-    zeros = jumps.sparkSession.range(1).select(F.lit(None).cast("int").alias("band"), F.lit(0).cast("bigint").alias("n"), *(F.lit(0.0).alias(c) for c in ("mean", "median", "p95", "max")))
+    """(band, n, mean, median, p95, max) by band and, with a NULL band, pooled; pooled zeros without seams.
+
+    Equal jumps of a band are counted first; percentiles come from running counts over ranges of them, so no band, nor all bands pooled, is gathered in one task.
+    """
+    counted = materialise(seam_jumps(mosaic, sources, strict).groupBy("band", "jump").agg(F.count(F.lit(1)).alias("n")), "counted-jumps")
+    every = counted.unionByName(counted.groupBy("jump").agg(F.sum("n").alias("n")).withColumn("band", F.lit(None).cast(counted.schema["band"].dataType)))
+    sums = every.groupBy("band").agg(F.sum("n").alias("n"), (F.sum(F.col("jump") * F.col("n")) / F.sum("n")).alias("mean"), F.max("jump").alias("max"))
+    found = sums.join(percentiles(every, "band", "jump", {"median": 0.5, "p95": 0.95}).withColumnRenamed("band", "__band"), F.col("band").eqNullSafe(F.col("__band"))).drop("__band")
+    stats = found.select("band", "n", "mean", "median", "p95", "max")
+    # there is no pooled row of nothing, so one of zeros goes in; no figure is below it
+    zeros = counted.sparkSession.range(1).select(F.lit(None).cast(counted.schema["band"].dataType).alias("band"), F.lit(0).cast("bigint").alias("n"), *(F.lit(0.0).alias(c) for c in ("mean", "median", "p95", "max")))
     return stats.unionByName(zeros).groupBy("band").agg(*(F.max(c).alias(c) for c in ("n", "mean", "median", "p95", "max")))
 
 

@@ -39,7 +39,7 @@ def run(frames: DataFrame, pixels: DataFrame, filter_method: str = "v1", mosaic_
     mosaic.require(good, reproject)
     chosen = pixels.join(good.select("frame_id"), "frame_id", "left_semi")
     if reproject:
-        chosen = mosaic.resample(chosen, good)
+        chosen, good = mosaic.warp(chosen, good)
     placed = mosaic.place(chosen, good)
     size = mosaic.bounds(good).select("height", "width").first()
     made = materialise(registry.method(registry.MOSAICS, mosaic_method).run(placed, height=size.height, width=size.width), "mosaic")

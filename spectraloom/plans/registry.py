@@ -30,7 +30,7 @@ MOSAICS = (
 )
 FILLS = (
     Method("v3", "Inverse distance", "four quadrants", lambda pixels, mask, reach, passes: fill.fill(pixels, mask, reach, passes)),
-    Method("v2", "Inverse distance, tile by tile", "bounded memory; rare cells differ", lambda pixels, mask, reach, passes: fill.fill_tiled(pixels, mask, reach)),
+    Method("v2", "Inverse distance, tile by tile", "bounded memory; rare cells differ", lambda pixels, mask, reach, passes: fill.fill_tiled(pixels, mask, reach, passes)),
 )
 
 

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spectraloom import model
-from spectraloom.functions import text
+from spectraloom.functions import crs, text
+from spectraloom.functions.percentiles import percentiles
 from spectraloom.operators import fill, filters, gaps, georef, mosaic, quality
 from spectraloom.plans import pipeline, registry
 from spectraloom.sources import rasters
@@ -167,7 +168,10 @@ def test_catalog_checks(spark):
     for other, problem in ((frame(3, crs="Y"), "crs"), (frame(3, a=1.1), "resolution"), (frame(3, bands=2), "bands"), (frame(3, dtype="float32"), "dtype")):
         with pytest.raises(ValueError, match=problem):
             mosaic.require(frames(spark, frame(1), other))
-    mosaic.require(frames(spark, frame(1), frame(3, crs="Y")), reproject=True)
+    # systems that can't be converted aren't mixed
+    with pytest.raises(ValueError, match="crs"):
+        mosaic.require(frames(spark, frame(1), frame(3, crs="Y")), reproject=True)
+    mosaic.require(frames(spark, frame(1, crs="EPSG:32636"), frame(3, crs="epsg:4326", a=0.1, e=-0.1)), reproject=True)
     with pytest.raises(ValueError, match="no frames"):
         mosaic.require(good.limit(0))
 
@@ -179,6 +183,135 @@ def test_resampling_keeps_a_plane(spark):
     assert got[1, 3, 4] == 17.0 and got[2, 1, 1] == pytest.approx(2 * 2.5 + 3 * 2.5)
 
 
+def test_systems_against_plain_geometry(spark):
+    assert crs.parsed("EPSG:32636") == ("utm", 36) and crs.parsed(" epsg:32701") == ("utm", -1) and crs.parsed("EPSG:32661") is None and crs.parsed(None) is None
+    places = [(33.0, 0.0), (33.0, 45.0), (33.0, 59.9), (30.2, 59.9), (35.9, -33.0), (32.0, 71.5), (33.0, 84.0), (30.0, 0.5), (-177.0, 10.0)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    for code in ("EPSG:32636", "EPSG:32736", "EPSG:3857", "EPSG:4326"):
+        x, y = crs.from_geographic(F.col("lon"), F.col("lat"), code)
+        there = df.where("lon > 0").select("lon", "lat", x.alias("x"), y.alias("y"))
+        lon, lat = crs.to_geographic(F.col("x"), F.col("y"), code)
+        for r in there.select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+            assert (r.lon2, r.lat2) == pytest.approx((r.lon, r.lat), abs=1e-9), code
+    x, y = crs.from_geographic(F.col("lon"), F.col("lat"), "EPSG:32636")
+    e = df.where("lon > 0").select("lon", "lat", x.alias("x"), y.alias("y")).collect()
+    e2 = crs.FLATTENING * (2 - crs.FLATTENING)
+
+    def meridian(lat):
+        """Length of the meridian from the equator, by quadrature."""
+        p = (np.arange(200_000) + 0.5) / 200_000 * math.radians(lat)
+        return float(np.mean(crs.MAJOR * (1 - e2) / (1 - e2 * np.sin(p) ** 2) ** 1.5) * math.radians(lat))
+
+    for r in e:
+        if r.lon == 33.0:
+            assert r.x == pytest.approx(500000.0, abs=1e-6) and r.y == pytest.approx(0.9996 * meridian(r.lat), abs=1e-3)
+    # conformal: steps east and north are equally long on the ellipsoid's scale and at right angles
+    step = 1e-5
+    near = spark.createDataFrame([(a + da, b + db) for a, b in places[:8] for da, db in ((0, 0), (step, 0), (0, step))], "lon double, lat double").select(x.alias("x"), y.alias("y"), "lat").collect()
+    for k in range(0, len(near), 3):
+        o, p, q = near[k : k + 3]
+        n = crs.MAJOR / math.sqrt(1 - e2 * math.sin(math.radians(o.lat)) ** 2)
+        m = n * (1 - e2) / (1 - e2 * math.sin(math.radians(o.lat)) ** 2)
+        d = math.radians(step)
+        east, north = np.array([p.x - o.x, p.y - o.y]) / (n * math.cos(math.radians(o.lat)) * d), np.array([q.x - o.x, q.y - o.y]) / (m * d)
+        assert np.hypot(*east) == pytest.approx(np.hypot(*north), rel=1e-5) and abs(east @ north) < 1e-5 and east[0] * north[1] - east[1] * north[0] > 0
+    for code in ("EPSG:2154", "X", ""):
+        with pytest.raises(ValueError, match="unknown"):
+            crs.to_geographic(F.lit(0.0), F.lit(0.0), code)
+
+
+def test_warping_keeps_a_plane(spark):
+    utm, geo = "EPSG:32636", "EPSG:4326"
+    # a frame in degrees around the middle of a frame in metres; values are a plane in metres
+    lon0, lat0, step = 33.0, 0.01, 1e-4
+    one = frame(1, 60, 60, a=20.0, e=-20.0, c=499400.0, f=1700.0, crs=utm)
+    two = frame(2, 40, 40, a=step, e=-step, c=lon0 - 20 * step, f=lat0 + 20 * step, crs=geo)
+    table = frames(spark, one, two)
+    centre = spark.createDataFrame([(y, x, lon0 + (x - 19.5) * step, lat0 + (19.5 - y) * step) for y in range(40) for x in range(40)], "y int, x int, lon double, lat double")
+    x, y = crs.from_geographic(F.col("lon"), F.col("lat"), utm)
+    plane = lambda x, y: (x - 499400) * 0.5 + (y - 500) * 0.25
+    pixels_two = centre.select(F.lit(2).alias("frame_id"), F.lit(1).alias("band"), "y", "x", plane(x, y).alias("v"))
+    pixels_one = spark.createDataFrame([(1, 1, r, c, plane(499400 + (c + 0.5) * 20, 1700 - (r + 0.5) * 20)) for r in range(60) for c in range(60)], "frame_id int, band int, y int, x int, v double")
+    made, catalog = mosaic.warp(pixels_one.unionByName(pixels_two).where("NOT (frame_id = 2 AND y = 5 AND x = 5)"), table)
+    grid = {r.frame_id: r for r in catalog.collect()}
+    assert all(g.crs == utm and (g.a, g.e) == (20.0, -20.0) for g in grid.values()) and (grid[1].c, grid[1].f, grid[1].width) == (499400.0, 1700.0, 60)
+    assert grid[2].width == math.ceil(40 * step * math.pi / 180 * crs.MAJOR * 0.9996 / 20) and grid[2].c < 500000 - 19 * 11
+    rows = made.collect()
+    inner = 0
+    for r in rows:
+        g = grid[r.frame_id]
+        want = plane(g.c + (r.x + 0.5) * 20, g.f - (r.y + 0.5) * 20)
+        edge = r.frame_id == 2 and not (1 <= r.y < g.height - 1 and 1 <= r.x < g.width - 1)
+        # beside the missing cell and at the border weights are left out, which moves a value by less than a cell
+        assert r.v == pytest.approx(want, abs=12.0 if edge or r.frame_id == 2 and r.y < 6 and r.x < 6 else 1e-3)
+        inner += r.frame_id == 2 and not edge
+    assert inner > 300 and sum(r.frame_id == 1 for r in rows) == 3600
+    # the whole pipeline puts both on one canvas
+    limits = model.Thresholds(skew_max=9.0, area_low=0.0, area_high=math.inf, aspect_max=9.0, valid_min=0.0, std_min=0.0)
+    result = pipeline.run(table, pixels_one.unionByName(pixels_two), limits=limits, reproject=True, reach=5.0)
+    assert result.mosaic.count() == 3600 and mosaic.warp(pixels_one, table.limit(0))[1].count() == 0
+
+
+def test_a_reference_in_another_system(spark):
+    rows = [(1, y, x, float(100 * y + x)) for y in range(30) for x in range(30)]
+    ref = spark.createDataFrame(rows, "band int, y int, x int, v double")
+    step = 1e-4
+    made = {(r.y, r.x): r.v for r in quality.align_warped(ref, (33.0, 0.003, step, step), "EPSG:4326", (500000.0, 331.0, 20.0, 20.0), "EPSG:32636", 16, 16).collect()}
+    east, north = math.pi / 180 * crs.MAJOR * 0.9996, math.pi / 180 * crs.MAJOR * (1 - crs.FLATTENING * (2 - crs.FLATTENING)) * 0.9996
+    want = {(y, x): 100 * math.floor((0.003 - (331.0 - (y + 0.5) * 20) / north) / step) + math.floor((x + 0.5) * 20 / east / step) for y in range(16) for x in range(16)}
+    assert len(made) == 256 and made == {k: float(v) for k, v in want.items()}
+
+
+def test_percentiles_of_counted_values(spark):
+    rng = np.random.default_rng(4)
+    values = {None: rng.integers(0, 9, 500), 1: rng.random(301), 2: np.array([7.5]), 3: np.array([1.0, 2.0])}
+    rows = [(k, float(v), int(n)) for k, x in values.items() for v, n in zip(*np.unique(x, return_counts=True))]
+    df = spark.createDataFrame(rows, "k int, v double, n bigint").repartition(5)
+    got = {r.k: r for r in percentiles(df, "k", "v", {"low": 0.05, "half": 0.5, "high": 0.95, "most": 1.0}).collect()}
+    assert len(got) == 4
+    for k, x in values.items():
+        assert (got[k].low, got[k].half, got[k].high, got[k].most) == pytest.approx(np.percentile(x, [5, 50, 95, 100]))
+    assert percentiles(df.limit(0), "k", "v", {"half": 0.5}).count() == 0
+
+
+def test_distances_in_boxes_of_a_large_canvas(spark):
+    rng = np.random.default_rng(5)
+    ok = np.zeros((90, 80), dtype=bool)
+    ok[40:60, 70:80] = rng.random((20, 10)) < 0.9
+    ok[0:12, 0:15] = True
+    halves = {1: ok & (np.arange(80) >= 40), 2: ok & (np.arange(80) < 40), 3: ok}
+    cells = spark.createDataFrame([(i, int(y), int(x)) for i, m in halves.items() for y, x in np.argwhere(m)], "frame_id int, y int, x int")
+    got = {(r.frame_id, r.y, r.x): r.distance for r in mosaic.distance(cells, ["frame_id"], 90, 80).collect()}
+    assert len(got) == sum(m.sum() for m in halves.values())
+    for i, m in halves.items():
+        bad = np.argwhere(~m)
+        assert all(got[i, y, x] == pytest.approx(np.sqrt(((bad - (y, x)) ** 2).sum(axis=1).min())) for y, x in map(tuple, np.argwhere(m)))
+
+
+def test_bands_that_are_valid_alike_share_distances(spark):
+    rng = np.random.default_rng(6)
+    masks = {1: rng.random((20, 20)) < 0.8, 2: rng.random((20, 20)) < 0.8}
+    masks |= {3: masks[1], 4: masks[2]}
+    cells = spark.createDataFrame([(f, b, int(y), int(x)) for f in (1, 2) for b, m in masks.items() for y, x in np.argwhere(m)], "frame_id int, band int, y int, x int")
+    shared = {tuple(r) for r in mosaic._band_distance(cells, 20, 20).select("frame_id", "band", "y", "x", "distance").collect()}
+    each = {tuple(r) for r in mosaic.distance(cells, ["frame_id", "band"], 20, 20).select("frame_id", "band", "y", "x", "distance").collect()}
+    assert shared == each
+
+
+def test_tiles_smooth_as_whole_columns_do(spark):
+    rng = np.random.default_rng(9)
+    grid = [[float(rng.integers(0, 50)) if rng.random() < 0.5 else None for _ in range(40)] for _ in range(40)]
+    cells = dense(spark, grid).unionByName(dense(spark, [[None, None]], 2)).unionByName(dense(spark, [[1, 2]], 3))
+    whole = {(r.band, r.y, r.x): r.v for r in fill.fill(cells, reach=6, passes=2).collect()}
+    tiled = {(r.band, r.y, r.x): r.v for r in fill.fill_tiled(cells, reach=6, passes=2, tile=12).collect()}
+    assert whole.keys() == tiled.keys() and tiled[2, 0, 0] is None and tiled[3, 0, 1] == 2.0
+    assert sum(whole[k] == pytest.approx(tiled[k]) for k in whole) >= 0.99 * len(whole)
+    mask = spark.createDataFrame([(0, 0, 1), (0, 1, 1)], "y int, x int, state int")
+    assert {r.x: r.v for r in fill.fill_tiled(dense(spark, [[4, 5]]), mask).collect()} == {0: 4.0, 1: 5.0}
+    method = registry.method(registry.FILLS, "v2")
+    assert {(r.band, r.y, r.x): r.v for r in method.run(cells, None, 6.0, 2).collect()} == pytest.approx(whole)
+
+
 def test_display_bands():
     assert mosaic.rgb_bands(2) == (1, 1, 1) and mosaic.rgb_bands(200) == (81, 51, 25)
 
@@ -388,6 +521,24 @@ def test_ground_below_a_level_camera(spark):
     assert len({(r.y, r.x) for r in cells}) == len(cells) > 0
 
 
+def test_terrain_in_steps_against_plain_rounds(spark):
+    poses = spark.createDataFrame([(1, k, 30.0 + k * 1e-4, 59.0, 100.0, 0.02 * k, 0.0, 0.0) for k in range(12)], "line_id int, line bigint, lon double, lat double, alt double, roll double, pitch double, yaw double")
+    heights = {(y, x): float((7 * x + 3 * y) % 5 * 6) for y in range(40) for x in range(40)}
+    dem = spark.createDataFrame([(y, x, h) for (y, x), h in heights.items()], "y int, x int, alt double")
+    left, top, res = 29.9990, 59.0010, 5e-5
+    got = {(r.line, r.sample): r for r in georef.dem_ground(poses, 5, 30.0, dem, left, top, res, res).collect()}
+    h, done = {k: 0.0 for k in got}, set()
+    for _ in range(8):
+        table = spark.createDataFrame([(a, b, x) for (a, b), x in h.items()], "line bigint, sample int, h double")
+        hits = georef._hits(georef.rays(poses, 5, 30.0).join(table, ["line", "sample"]), F.col("h")).collect()
+        new = {(r.line, r.sample): heights.get((math.floor((top - r.glat) / res), math.floor((r.glon - left) / res)), 0.0) for r in hits}
+        still = {a for a in range(12) if max(abs(new[a, b] - h[a, b]) for b in range(5)) <= 0.25}
+        h = {k: h[k] if k[0] in done else new[k] for k in h}
+        done |= still
+    assert done
+    assert all(got[k].alt == h[k] and got[k].valid == (k[0] in done) for k in got)
+
+
 def test_terrain_meets_the_plane_where_it_is_flat(spark):
     poses = spark.createDataFrame([(1, k, 30.0, 59.0, 100.0, 0.0, 0.0, 0.0) for k in range(2)], "line_id int, line bigint, lon double, lat double, alt double, roll double, pitch double, yaw double")
     dem = spark.createDataFrame([(y, x, 20.0) for y in range(5) for x in range(5)], "y int, x int, alt double")
