@@ -196,12 +196,12 @@ def sample_dem(points: DataFrame, dem: DataFrame, left: float, top: float, xres:
 
 
 def extent(ground: DataFrame) -> DataFrame:
-    """A row for each line_id: bounds of its valid points, resolution, canvas size and pixel sizes."""
+    """A row for each line_id: bounds of its valid points, resolution, canvas size and pixel sizes; a rounding doesn't add a row or column."""
     size = ground.groupBy("line_id").agg(*(f(F.when(F.col("valid"), F.col(c))).alias(n) for f, c, n in ((F.min, "lon", "left"), (F.max, "lon", "right"), (F.min, "lat", "bottom"), (F.max, "lat", "top"))), F.count_distinct("line").alias("lines"), (F.max("sample") + 1).alias("samples"))
     wide, high = F.col("right") - F.col("left"), F.col("top") - F.col("bottom")
     res = F.greatest(wide / F.col("samples"), high / F.col("lines"))
     out = size.where(F.col("left").isNotNull()).withColumn("res", F.when(res > 0, res).otherwise(F.lit(1e-6)))
-    out = out.withColumns({"width": F.greatest(F.lit(1), F.ceil(wide / F.col("res")).cast("int")), "height": F.greatest(F.lit(1), F.ceil(high / F.col("res")).cast("int"))})
+    out = out.withColumns({"width": F.greatest(F.lit(1), F.ceil(wide / F.col("res") - 1e-9).cast("int")), "height": F.greatest(F.lit(1), F.ceil(high / F.col("res") - 1e-9).cast("int"))})
     return out.select("line_id", "left", "bottom", "right", "top", "res", "width", "height", (wide / F.col("width")).alias("xres"), (high / F.col("height")).alias("yres"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from .. import views
 from ..functions import report, text
 from ..model import PRESETS
 from ..operators import fill, filters, gaps, georef, mosaic, quality
-from ..sources import rasters
+from ..sources import cubes, rasters
 from ..sources import text as files
 from ..tables import fresh_path
 from . import pipeline
@@ -420,13 +421,12 @@ def rgb_bands(spark, sf_dir):
 
 # gaps
 
-_AREA = f"WITH RECURSIVE {_LI}, ar AS (SELECT CAST(a.range AS INT) AS y, CAST(b.range AS INT) AS x, EXISTS (SELECT 1 FROM li WHERE li.y = a.range AND li.x = b.range {{}}) AS valid FROM range(0, 128) a, range(0, 128) b)"
-_ALL, _ONE = _AREA.format(""), _AREA.format("AND li.frame_id <= 3")
-_FLOOD = ", fl(y, x) AS (SELECT y, x FROM ar WHERE NOT valid AND (y IN (0, 127) OR x IN (0, 127)) UNION SELECT ar.y, ar.x FROM fl, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), ar WHERE ar.y = fl.y + dy AND ar.x = fl.x + dx AND NOT ar.valid), ho AS (SELECT y, x FROM ar WHERE NOT valid AND NOT EXISTS (SELECT 1 FROM fl WHERE fl.y = ar.y AND fl.x = ar.x))"
+_ALL = "WITH RECURSIVE it AS (SELECT DISTINCT CAST(l_orderkey % 64 AS INT) AS y, CAST(l_partkey % 64 AS INT) AS x FROM lineitem), ar AS (SELECT CAST(a.range AS INT) AS y, CAST(b.range AS INT) AS x, (a.range * 37 + b.range * 61 + (a.range * b.range) % 17) % 10 >= 3 AND EXISTS (SELECT 1 FROM it WHERE it.y = a.range AND it.x = b.range) AS valid FROM range(0, 64) a, range(0, 64) b)"
+_FLOOD = ", fl(y, x) AS (SELECT y, x FROM ar WHERE NOT valid AND (y IN (0, 63) OR x IN (0, 63)) UNION SELECT ar.y, ar.x FROM fl, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), ar WHERE ar.y = fl.y + dy AND ar.x = fl.x + dx AND NOT ar.valid), ho AS (SELECT y, x FROM ar WHERE NOT valid AND NOT EXISTS (SELECT 1 FROM fl WHERE fl.y = ar.y AND fl.x = ar.x))"
 
 
-def _area(spark, sf_dir, frames: int = 8):
-    return gaps.validity(views.frame_pixels(spark, sf_dir).where(F.col("frame_id") <= frames), 128, 128)
+def _area(spark, sf_dir):
+    return gaps.validity(views.patchy_pixels(spark, sf_dir), 64, 64)
 
 
 @query(_ALL + " SELECT y, x, valid FROM ar")
@@ -434,31 +434,31 @@ def validity_union(spark, sf_dir):
     return _area(spark, sf_dir)
 
 
-@query(_ONE + _FLOOD + " SELECT y, x FROM ho")
+@query(_ALL + _FLOOD + " SELECT y, x FROM ho")
 def fill_holes(spark, sf_dir):
-    return gaps.holes(_area(spark, sf_dir, 3))
+    return gaps.holes(_area(spark, sf_dir))
 
 
-_CLOSE = """, n AS (SELECT * FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE abs(dy) + abs(dx) <= 2), dil AS (SELECT DISTINCT CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM ar, n WHERE valid AND y + dy BETWEEN 0 AND 127 AND x + dx BETWEEN 0 AND 127),
+_CLOSE = """, n AS (SELECT * FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE abs(dy) + abs(dx) <= 2), dil AS (SELECT DISTINCT CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM ar, n WHERE valid AND y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63),
 clo AS (SELECT a.y, a.x, a.valid, count(dil.y) = 13 AS closed FROM ar a CROSS JOIN n LEFT JOIN dil ON dil.y = a.y + dy AND dil.x = a.x + dx GROUP BY 1, 2, 3)"""
 
 
-@query(_ONE + _CLOSE + " SELECT y, x, valid, closed FROM clo")
+@query(_ALL + _CLOSE + " SELECT y, x, valid, closed FROM clo")
 def closing(spark, sf_dir):
-    return gaps.closing(_area(spark, sf_dir, 3), 2)
+    return gaps.closing(_area(spark, sf_dir), 2)
 
 
-_STATE = _ONE + _FLOOD + _CLOSE + ", st AS (SELECT clo.y, clo.x, CASE WHEN valid THEN 0 WHEN closed OR ho.y IS NOT NULL THEN 1 ELSE 2 END AS state FROM clo LEFT JOIN ho ON clo.y = ho.y AND clo.x = ho.x)"
+_STATE = _ALL + _FLOOD + _CLOSE + ", st AS (SELECT clo.y, clo.x, CASE WHEN valid THEN 0 WHEN closed OR ho.y IS NOT NULL THEN 1 ELSE 2 END AS state FROM clo LEFT JOIN ho ON clo.y = ho.y AND clo.x = ho.x)"
 
 
 @query(_STATE + " SELECT y, x, state FROM st")
 def fillmask_3state(spark, sf_dir):
-    return gaps.fill_mask(_area(spark, sf_dir, 3), 2)
+    return gaps.fill_mask(_area(spark, sf_dir), 2)
 
 
 @query(_STATE + " SELECT y, x, CASE WHEN state = 1 THEN 0 ELSE 1 END AS keep FROM st")
 def fillmask_2state(spark, sf_dir):
-    return gaps.two_state(gaps.fill_mask(_area(spark, sf_dir, 3), 2))
+    return gaps.two_state(gaps.fill_mask(_area(spark, sf_dir), 2))
 
 
 @query(f"WITH {_FM} SELECT y, x, state FROM fm")
@@ -610,10 +610,11 @@ def band_ssim(spark, sf_dir):
     return quality.ssim(*_pair(spark, sf_dir)).select("band", _r("ssim"))
 
 
-@query(f"WITH {_MOS} SELECT DISTINCT band FROM ed WHERE band NOT IN (SELECT band FROM pr WHERE band % 2 = 0)")
+@query(f"WITH {_MOS}, odd AS (SELECT band, y, x, CASE WHEN band % 2 = 0 THEN v END AS v FROM mos) SELECT DISTINCT band FROM ed WHERE band NOT IN (SELECT ed.band FROM ed JOIN odd USING (band, y, x) WHERE ed.v IS NOT NULL AND odd.v IS NOT NULL)")
 def skipped_bands(spark, sf_dir):
+    """Every second band of the mosaic has no value anywhere."""
     reference, made = _pair(spark, sf_dir)
-    return quality.skipped_bands(reference, quality.pair(reference, made).where(F.col("band") % 2 == 0))
+    return quality.skipped_bands(reference, quality.pair(reference, made.withColumn("v", F.when(F.col("band") % 2 == 0, F.col("v")))))
 
 
 def _metrics(spark, sf_dir, mask=True):
@@ -694,16 +695,40 @@ def seam_length(spark, sf_dir):
     return quality.seam_length(_sources(spark, sf_dir)[1])
 
 
-@query()
-def report_json(spark, sf_dir):
-    metrics = _metrics(spark, sf_dir)
-    return report.report_json(metrics, quality.aggregates(metrics), quality.coverage_ratio(views.cube(spark, sf_dir, False)))
+def _score(spark, sf_dir, seams: bool = False):
+    from . import score
+
+    cube = views.cube(spark, sf_dir, False)
+    sources = _mask(spark, sf_dir).select("y", "x", (F.col("x") % 3 + 1).cast("int").alias("source_id")) if seams else None
+    return score.run(cube, _pair(spark, sf_dir)[1], 64, _mask(spark, sf_dir), sources)
 
 
 @query()
+def report_json(spark, sf_dir):
+    return report.report_json(_score(spark, sf_dir, True), "2000-01-01T00:00:00")
+
+
+_REPORT = f"WITH RECURSIVE {_EI}, {_FM}, ed AS (SELECT * FROM ei), mos AS (SELECT band, y, x, v * 9e-1 + 1e-2 * ((y * 3 + x + band) % 7) AS v FROM ei), pr AS (SELECT ei.band, ei.y, ei.x, ei.v AS p, mos.v AS q FROM ei JOIN mos USING (band, y, x) WHERE ei.v IS NOT NULL AND mos.v IS NOT NULL)" + _SSIM.format(pairs="pr") + ", lo AS (" + _LONG.format(variant="base", pairs="pr") + """),
+wi AS (SELECT band, count(*) AS n, (SELECT max(value) FILTER (metric = 'rmse') FROM lo WHERE lo.band = pr.band) AS rmse, (SELECT max(value) FILTER (metric = 'mae') FROM lo WHERE lo.band = pr.band) AS mae, (SELECT max(value) FILTER (metric = 'psnr') FROM lo WHERE lo.band = pr.band) AS psnr, (SELECT max(value) FILTER (metric = 'ssim') FROM lo WHERE lo.band = pr.band) AS ssim FROM pr GROUP BY band),
+ag AS (SELECT metric, avg(value) AS mean, CASE WHEN metric IN ('psnr', 'ssim') THEN min(value) ELSE max(value) END AS worst, CASE WHEN metric IN ('psnr', 'ssim') THEN quantile_cont(value, 0.05) ELSE quantile_cont(value, 0.95) END AS p05 FROM lo GROUP BY 1),
+ab AS (SELECT ag.*, (SELECT min(band) FROM lo WHERE lo.metric = ag.metric AND lo.value = ag.worst) AS worst_band, (SELECT arg_min(band, (abs(value - ag.p05), band)) FROM lo WHERE lo.metric = ag.metric) AS p05_band FROM ag),
+ro AS (""" + " UNION ALL ".join(f"SELECT {k} AS position, '{label:>10}' || string_agg(format(' | {form}', {c}), '' ORDER BY list_position(['rmse', 'mae', 'psnr', 'ssim'], metric)) || ' |' AS value FROM ab" for k, (label, c, form) in enumerate((("MEAN", "mean", "{:>10.4f}"), ("WORST", "worst", "{:>10.4f}"), ("WORST_BAND", "worst_band", "{:>10d}"), ("P05", "p05", "{:>10.4f}"), ("P05_BAND", "p05_band", "{:>10d}")))) + """),
+s AS (SELECT y, x, sum(p * q) AS pq, sum(p * p) AS pp, sum(q * q) AS qq, count(*) AS n FROM pr GROUP BY 1, 2), an AS (SELECT acos(greatest(-1e0, least(1e0, pq / (sqrt(pp) * sqrt(qq) + 1e-12)))) AS angle FROM s WHERE n = 64 AND pp > 0 AND qq > 0),
+va AS (SELECT y, x, bool_or(v IS NOT NULL) AS ok FROM mos GROUP BY 1, 2), no AS (SELECT band, 1 - count(v) / count(*)::DOUBLE AS f FROM mos GROUP BY 1),
+cl AS (SELECT y, x FROM fm WHERE state = 1), lb(y, x, label) AS (SELECT y, x, y::BIGINT * 2147483648 + x FROM cl UNION SELECT cl.y, cl.x, lb.label FROM lb, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), cl WHERE cl.y = lb.y + dy AND cl.x = lb.x + dx), la AS (SELECT y, x, min(label) AS label FROM lb GROUP BY 1, 2), rg AS (SELECT label, count(*) AS n FROM la GROUP BY 1), gm AS (SELECT count(*) AS regions, max(n) AS largest FROM rg),
+li AS (SELECT 0 AS part, 0 AS position, '{head}' AS value UNION ALL SELECT part, position, '{rule}' FROM (VALUES (0, 1), (3, 0), (5, 0), (7, 0), (13, 0)) v(part, position)
+UNION ALL SELECT 1, band, format('{{:>4}} | {{:>10.4f}} | {{:>10.4f}} | {{:>10.4f}} | {{:>10.4f}} | {{:>9d}}', band, rmse, mae, psnr, ssim, n) FROM wi UNION ALL SELECT 4, position, value FROM ro
+UNION ALL SELECT 6, 0, format('SAM     (rad) : {{:.6f}}   [{{}} pixels valid in every band]', avg(angle), count(*)) FROM an UNION ALL SELECT 6, 1, format('SAM_DEG (deg) : {{:.6f}}', degrees(avg(angle))) FROM an
+UNION ALL SELECT 8, 0, format('Coverage ratio : {{:.6f}}   [fraction of valid pixels in mosaic]', count(*) FILTER (ok) / count(*)::DOUBLE) FROM va
+UNION ALL SELECT 9, 0, format('Filled pixel ratio : {{:.6f}}   [fraction of valid pixels that were gap-filled]', count(*) FILTER (state = 1) / count(*)::DOUBLE) FROM va JOIN fm USING (y, x) WHERE ok
+UNION ALL SELECT 10, 0, 'NoData fraction per band : ' || string_agg(format('{{:.4f}}', f), ', ' ORDER BY band) FROM no
+UNION ALL SELECT 13, 1, 'Gap region metrics:' UNION ALL SELECT 13, 2, '  Number of gap regions: ' || regions FROM gm UNION ALL SELECT 13, 3, '  Largest gap (pixels): ' || largest FROM gm UNION ALL SELECT 14, 0, format('  Largest gap (m²): {{:.2f}}', largest * 1e0) FROM gm)
+SELECT part, position::BIGINT AS position, value FROM li""".format(head=report.HEAD, rule=report.RULE)
+
+
+@query(_REPORT)
 def report_text(spark, sf_dir):
-    metrics = _metrics(spark, sf_dir)
-    return report.report_text(metrics, quality.aggregates(metrics))
+    return report.report_text(_score(spark, sf_dir))
 
 
 # georeferencing
@@ -757,9 +782,10 @@ def load_poses(spark, sf_dir):
 _SAMPLES = 5
 
 
-@query("SELECT CAST(range AS INT) AS sample, round((range - 2e0) / 4 * radians(20e0), 9) + 0e0 AS angle FROM range(0, 5)")
+@query("SELECT p_partkey AS part, round((p_partkey % 101 - 50e0) / 100 * radians(20e0), 9) + 0e0 AS angle FROM part")
 def view_angles(spark, sf_dir):
-    return spark.range(_SAMPLES).select(F.col("id").cast("int").alias("sample"), _r(georef.view_angle(F.col("id"), _SAMPLES, 20.0), "angle", 9))
+    k = F.col("p_partkey")
+    return views.table(spark, sf_dir, "part").select(k.alias("part"), _r(georef.view_angle(k % 101, 101, 20.0), "angle", 9))
 
 
 _ROT = """, ro AS (SELECT line_id, line, lon, lat, alt, cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll) AS r01, cos(yaw) * sin(pitch) * cos(roll) + sin(yaw) * sin(roll) AS r02, sin(yaw) * sin(pitch) * sin(roll) + cos(yaw) * cos(roll) AS r11, sin(yaw) * sin(pitch) * cos(roll) - cos(yaw) * sin(roll) AS r12, cos(pitch) * sin(roll) AS r21, cos(pitch) * cos(roll) AS r22 FROM po)"""
@@ -819,15 +845,25 @@ def grid_extent(spark, sf_dir):
     return georef.extent(_ground(spark, sf_dir)).select("line_id", _r("left"), _r("bottom"), _r("right"), _r("top"), _r("res", places=7))
 
 
-@query()
+_GEO = _EXT + """, rs AS (SELECT line_id, l, r, b, t, CASE WHEN greatest((r - l) / s, (t - b) / n) > 0 THEN greatest((r - l) / s, (t - b) / n) ELSE 1e-6 END AS res FROM bo),
+gd AS (SELECT *, greatest(1, ceil((r - l) / res - 1e-9)) AS w, greatest(1, ceil((t - b) / res - 1e-9)) AS h FROM rs),
+pl AS (SELECT gr.line_id, line, sample, w, h, CASE WHEN r > l THEN (lon - l) / ((r - l) / w) ELSE 0 END AS fx, CASE WHEN t > b THEN (t - lat) / ((t - b) / h) ELSE 0 END AS fy FROM gr JOIN gd USING (line_id) WHERE valid),
+ce AS (SELECT *, CAST(least(floor(fx), w - 1) AS INT) AS x, CAST(least(floor(fy), h - 1) AS INT) AS y FROM pl),
+im AS (SELECT *, row_number() OVER (PARTITION BY line_id, y, x ORDER BY (fx - x - 5e-1) * (fx - x - 5e-1) + (fy - y - 5e-1) * (fy - y - 5e-1), line, sample) AS k FROM ce),
+geo AS (SELECT line_id, CAST(band AS INT) AS band, y, x, (line + sample)::DOUBLE AS v FROM im, (VALUES (1), (2)) q(band) WHERE k = 1)"""
+
+
+@query(_GEO + " SELECT line_id, band, y, x, v FROM geo")
 def geoloc_resample(spark, sf_dir):
     ground = _ground(spark, sf_dir)
     values = ground.select("line_id", "line", "sample", F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), (F.col("line") + F.col("sample")).cast("double").alias("v"))
     return georef.resample(values, ground)
 
 
-@query(_GROUND + """, en AS (SELECT line_id, min(line) AS l0, max(line) AS l1, max(sample) AS s1 FROM gr GROUP BY 1), pt AS (SELECT line_id, 0 AS k, sample::BIGINT AS o, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND line = l0 UNION ALL SELECT line_id, 1, line, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND sample = s1 UNION ALL SELECT line_id, 2, -sample, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND line = l1 UNION ALL SELECT line_id, 3, -line, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND sample = 0)
-SELECT line_id, count(*) + 1 AS points, round(arg_min(lon, (k, o)), 5) AS first_lon, round(arg_max(lat, (k, o)), 5) AS end_lat FROM pt GROUP BY 1""")
+_RING = _GROUND + """, en AS (SELECT line_id, min(line) AS l0, max(line) AS l1, max(sample) AS s1 FROM gr GROUP BY 1), pt AS (SELECT line_id, 0 AS k, sample::BIGINT AS o, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND line = l0 UNION ALL SELECT line_id, 1, line, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND sample = s1 UNION ALL SELECT line_id, 2, -sample, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND line = l1 UNION ALL SELECT line_id, 3, -line, lon, lat FROM gr JOIN en USING (line_id) WHERE valid AND sample = 0)"""
+
+
+@query(_RING + " SELECT line_id, count(*) + 1 AS points, round(arg_min(lon, (k, o)), 5) AS first_lon, round(arg_max(lat, (k, o)), 5) AS end_lat FROM pt GROUP BY 1")
 def footprint_ring(spark, sf_dir):
     rings = georef.footprint(_ground(spark, sf_dir))
     return rings.select("line_id", F.size("ring").cast("long").alias("points"), _r(F.col("ring")[0]["lon"], "first_lon", 5), _r(F.element_at("ring", -2)["lat"], "end_lat", 5))
@@ -838,15 +874,81 @@ def footprint_simplify(spark, sf_dir):
     return georef.simplify(georef.footprint(_ground(spark, sf_dir)), 1e-5)
 
 
-@query()
+@query(_RING + ", fa AS (SELECT line_id, count(DISTINCT line) AS n_frames, count(DISTINCT sample) AS n_xtrack FROM gr GROUP BY 1) SELECT line_id, 'Feature' AS type, line_id::BIGINT AS flight_line, n_frames, n_xtrack, 0e0 AS mean_alt_m, count(*) + 1 AS points, round(arg_min(lon, (k, o)), 5) AS first_lon, round(arg_max(lat, (k, o)), 5) AS end_lat FROM pt JOIN fa USING (line_id) GROUP BY ALL")
 def sink_footprint(spark, sf_dir):
+    """The features written as GeoJSON and read back from their text."""
     ground = _ground(spark, sf_dir)
-    return rasters.footprint_features(georef.footprint(ground), ground)
+    stored = _stored(spark, rasters.footprint_features(georef.footprint(ground), ground), "footprint", lambda df, path: df.write.parquet(path))
+    shape = "type STRING, properties STRUCT<flight_line: BIGINT, n_frames: BIGINT, n_xtrack: BIGINT, mean_alt_m: DOUBLE>, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    back = stored.select("line_id", F.from_json("feature", shape).alias("f")).select("line_id", "f.type", "f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("ring"))
+    return back.select("line_id", "type", "flight_line", "n_frames", "n_xtrack", _r("mean_alt_m"), F.size("ring").cast("long").alias("points"), _r(F.col("ring")[0][0], "first_lon", 5), _r(F.element_at("ring", -2)[1], "end_lat", 5))
 
 
-@query()
+@query(_GEO + " SELECT line_id, band, y, x, round(v, 2) AS v FROM geo")
 def sink_geotiff_georef(spark, sf_dir):
-    return _stored(spark, geoloc_resample(spark, sf_dir), "georef", rasters.write_mosaic)
+    return _stored(spark, geoloc_resample(spark, sf_dir), "georef", rasters.write_mosaic).select("line_id", "band", "y", "x", _r(F.col("v").cast("double"), "v", 2))
+
+
+# files, checks and registries
+
+
+def _raw(spark, sf_dir):
+    """A path that holds the raw cube, by lines, and its header as a row."""
+    path = fresh_path(spark, "cube")
+    cubes.write_cube(views.raw_cube(spark, sf_dir), path, 5, 5, 3)
+    text_ = spark.range(1).select(F.lit("samples = 5\nlines = 5\nbands = 3\ninterleave = bil\ndata type = 12\n").alias("value"))
+    return path, files.parse_headers(text_).first()
+
+
+@query("SELECT CAST(n_nationkey // 5 AS BIGINT) AS line, CAST(n_nationkey % 5 AS INT) AS sample, band, CASE band WHEN 1 THEN n_nationkey WHEN 2 THEN n_regionkey ELSE length(n_name) END::DOUBLE AS v FROM nation, (VALUES (1), (2), (3)) b(band)")
+def scan_cube(spark, sf_dir):
+    path, header = _raw(spark, sf_dir)
+    return cubes.read_cube(spark, path, header)
+
+
+@query("SELECT count(*) * 6 AS bytes, 30 AS record_bytes, TRUE AS other_size_fails FROM nation")
+def dim_check(spark, sf_dir):
+    path, header = _raw(spark, sf_dir)
+    size = cubes.size_of(spark, path)
+    record, fails = cubes.check_dimensions(size, header), False
+    try:
+        cubes.check_dimensions(size - 2, header)
+    except ValueError:
+        fails = True
+    return spark.range(1).select(F.lit(size).cast("long").alias("bytes"), F.lit(record).alias("record_bytes"), F.lit(fails).alias("other_size_fails"))
+
+
+@query("SELECT n_nationkey, n_name, TRUE AS absent_fails FROM nation")
+def open_or_fail(spark, sf_dir):
+    fails = False
+    try:
+        rasters.open_table(spark, f"{sf_dir}/no-such-table.parquet")
+    except AnalysisException:
+        fails = True
+    return rasters.open_table(spark, f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", F.lit(fails).alias("absent_fails"))
+
+
+@query("SELECT * FROM (VALUES ('filter', 0, 'v1'), ('filter', 1, 'v2'), ('filter', 2, 'v3'), ('mosaic', 0, 'v1'), ('mosaic', 1, 'v2'), ('mosaic', 2, 'v3'), ('fill', 0, 'v3'), ('fill', 1, 'v2')) t(kind, place, id)")
+def method_registries(spark, sf_dir):
+    from . import registry
+
+    kinds = {"filter": registry.FILTERS, "mosaic": registry.MOSAICS, "fill": registry.FILLS}
+    return spark.createDataFrame([(kind, k, registry.method(methods, m.id).id) for kind, methods in kinds.items() for k, m in enumerate(methods)], "kind string, place int, id string")
+
+
+@query(f"""WITH {_LI}, fr AS (SELECT CAST(range AS INT) AS frame_id, range % 2 = 0 AS geo, 128 * 3e1 AS m FROM range(1, 9)),
+cell AS (SELECT frame_id, geo, CAST(a.range AS INT) AS y, CAST(b.range AS INT) AS x, (b.range + 5e-1) * 3e1 AS mx, (a.range + 5e-1) * 3e1 AS my FROM fr, range(0, 256) a, range(0, 256) b WHERE geo OR a.range < 128 AND b.range < 128),
+ll AS (SELECT *, degrees(mx / {_A}) AS lon, degrees(atan(sinh(-my / {_A}))) AS lat FROM cell),
+pp AS (SELECT frame_id, y, x, CASE WHEN geo THEN lon / 3e-4 - 5e-1 ELSE mx / 3e1 - 5e-1 END AS u, CASE WHEN geo THEN -lat / 3e-4 - 5e-1 ELSE my / 3e1 - 5e-1 END AS w FROM ll),
+k4 AS (SELECT frame_id, y, x, CAST(floor(w) + j AS INT) AS ky, CAST(floor(u) + i AS INT) AS kx, (CASE WHEN j = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) * (CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS wt FROM pp, range(0, 2) jj(j), range(0, 2) ii(i)),
+en AS (SELECT CAST(ceil(radians(128 * 3e-4) * {_A} / 3e1 - 1e-9) AS INT) AS w, CAST(ceil(asinh(tan(radians(128 * 3e-4))) * {_A} / 3e1 - 1e-9) AS INT) AS h)
+SELECT k4.frame_id, px.band, k4.y, k4.x, round(sum(wt * v) / sum(wt), 4) AS v FROM en, k4 JOIN px ON px.frame_id = k4.frame_id AND px.y = ky AND px.x = kx WHERE wt > 1e-9 AND (k4.frame_id % 2 = 1 OR k4.y < h AND k4.x < w) GROUP BY 1, 2, 3, 4""")
+def reproject_systems(spark, sf_dir):
+    """Every second frame is in degrees; the first one is in Web Mercator metres."""
+    geo = F.col("frame_id") % 2 == 0
+    step = F.when(geo, F.lit(3e-4)).otherwise(F.lit(30.0))
+    frames = views.frames(spark, sf_dir).withColumns({"a": step, "e": -step, "crs": F.when(geo, F.lit("EPSG:4326")).otherwise(F.lit("EPSG:3857"))})
+    return mosaic.warp(views.frame_pixels(spark, sf_dir), frames)[0].select("frame_id", "band", "y", "x", _r("v", places=4))
 
 
 # the pipeline

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from .text import DATA_TYPES
 
@@ -25,14 +26,42 @@ def check_dimensions(size: int, header: Row) -> int:
     return record
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+
+
+def write_cube(pixels: DataFrame, path: str, lines: int, samples: int, bands: int) -> None:
+    """A raw cube of 16-bit unsigned values, interleaved by line, from (line, sample, band, v) of all its values.
+
+    Records are made by the executors; the driver puts them into the one file that the format asks for, a line at a time. For small cubes, as in tests.
+    """
+    record = F.transform(F.array_sort(F.collect_list(F.struct("band", "sample", "v"))), lambda x: x["v"].cast("int"))
+    jvm, conf = spark_jvm(pixels.sparkSession)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(conf).create(where, True)
+    try:
+        for row in pixels.groupBy("line").agg(record.alias("values")).orderBy("line").toLocalIterator():
+            if len(row["values"]) != samples * bands:
+                raise ValueError(f"line {row.line} has {len(row['values'])} of {samples * bands} values")
+            out.write(bytearray(np.array(row["values"], dtype="<u2").tobytes()))
+    finally:
+        out.close()
+    check = size_of(pixels.sparkSession, path)
+    if check != 2 * lines * samples * bands:
+        raise ValueError(f"{check} bytes instead of {2 * lines * samples * bands}")
+
+
+def spark_jvm(spark: SparkSession) -> tuple:
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
 def read_cube(spark: SparkSession, path: str, header: Row, bands: list[int] | None = None) -> DataFrame:
     """(line, sample, band, v) of a cube; bands are numbered from 1, only those asked for leave the reader.
 
     A record is one line (bil, bip) or one line of one band (bsq), so splits never cut one and no task holds more than some of them.
     """
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
-    record = check_dimensions(size, header)
+    record = check_dimensions(size_of(spark, path), header)
     kind = np.dtype(DATA_TYPES[header.data_type]).newbyteorder(">" if header.byte_order else "<")
     samples, count, lines, order = header.samples, header.bands, header.lines, header.interleave
     wanted = np.array(bands or range(1, count + 1)) - 1

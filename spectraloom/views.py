@@ -25,6 +25,22 @@ def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("frame_id", "y", "x", F.inline(bands)).select("frame_id", "band", "y", "x", "v")
 
 
+def patchy_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items on a canvas of 64 x 64, one band; v is NULL in patches of places, so that there are gaps at any size of the tables."""
+    side = SIDE // 2
+    y, x = _int(F.col("l_orderkey") % side), _int(F.col("l_partkey") % side)
+    t = table(spark, sf_dir, "lineitem").select(_int(F.col("l_suppkey") % 8 + 1).alias("frame_id"), F.lit(1).alias("band"), y.alias("y"), x.alias("x"), F.col("l_quantity").alias("q"))
+    gone = (F.col("y") * 37 + F.col("x") * 61 + (F.col("y") * F.col("x")) % 17) % 10 < 3
+    return t.select("frame_id", "band", "y", "x", F.when(~gone, F.col("q")).alias("v"))
+
+
+def raw_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, sample, band, v) of 5 lines, 5 samples and 3 bands from the nations, of which there are 25 at any size of the tables."""
+    t = table(spark, sf_dir, "nation")
+    bands = F.array(F.col("n_nationkey"), F.col("n_regionkey"), F.length("n_name"))
+    return t.select(_int(F.floor(F.col("n_nationkey") / 5)).alias("line"), _int(F.col("n_nationkey") % 5).alias("sample"), F.posexplode(bands).alias("k", "v")).select("line", "sample", (F.col("k") + 1).alias("band"), F.col("v").cast("double").alias("v"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog of those eight frames."""
     ids = spark.range(1, 9).select(_int(F.col("id")).alias("frame_id"))

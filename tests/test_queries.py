@@ -7,10 +7,6 @@ import __spark_entry__
 import verify
 from spectraloom.plans.queries import ORACLE_SQL, QUERIES
 
-# closing over thousands of cells by recursive SQL takes minutes at this sparse size
-SLOW = {"label_components", "gap_region_metrics"}
-
-
 @pytest.fixture(scope="module")
 def db():
     connection = duckdb.connect()
@@ -19,7 +15,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
