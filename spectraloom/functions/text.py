@@ -48,18 +48,20 @@ def reason_text(reason: Column, measured: Column, threshold: Column, low: Column
     """The sentence of a rejection, NULL without a reason."""
     nothing = F.lit(None).cast("double")
     values = {"m": measured, "t": threshold, "lo": nothing if low is None else low, "hi": nothing if high is None else high, "band": F.lit(None) if band is None else band}
+    forms = sorted({tuple(x.split("}")[0].split(":")) for text in TEXTS.values() for x in text.split("{")[1:] if ":" in x})
+    written = F.array(*(F.coalesce(significant(values[k]) if form.endswith("g") else fixed(values[k], int(form[1])), F.lit("")) for k, form in forms))
+    # one number is written in several sentences: it is worked out once
+    return F.get(F.transform(F.array(written), lambda numbers: _sentence(reason, values["band"], dict(zip(forms, (F.get(numbers, F.lit(i)) for i in range(len(forms))), strict=True)))), F.lit(0))
+
+
+def _sentence(reason: Column, band: Column, numbers: dict[tuple[str, str], Column]) -> Column:
     out = F.lit(None).cast("string")
     for name, text in TEXTS.items():
         parts = []
         for piece in text.replace("}", "{").split("{"):
             key, _, form = piece.partition(":")
-            if key not in values:
-                parts.append(F.lit(piece))
-            elif not form:
-                parts.append(values[key].cast("string"))
-            else:
-                parts.append(significant(values[key]) if form.endswith("g") else fixed(values[key], int(form[1])))
-        out = F.when(reason == name, F.concat(*(F.coalesce(x, F.lit("")) for x in parts))).otherwise(out)
+            parts.append(numbers.get((key, form), F.coalesce(band.cast("string"), F.lit("")) if key == "band" else F.lit(piece)))
+        out = F.when(reason == name, F.concat(*parts)).otherwise(out)
     return out
 
 
