@@ -90,7 +90,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     kinds = F.transform("seeds", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("seeds")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(F.col("seeds")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("any_found"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
