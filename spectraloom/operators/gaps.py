@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialise
-from .components import connected_components
+from .components import FEW, connected_components
 from .mosaic import grid
 
 #: Number of a cell: row-major over 2^31 columns.
@@ -35,7 +35,7 @@ def label(cells: DataFrame) -> DataFrame:
     column = Window.partitionBy("x").orderBy("y")
     pairs = runs.select("run", F.when(F.lag("y").over(column) == F.col("y") - 1, F.lag("run").over(column)).alias("above"))
     edges = pairs.where(F.col("above").isNotNull()).distinct()
-    found = connected_components(edges, "run", "above")
+    found = connected_components(edges, "run", "above", FEW)
     return runs.join(found, runs["run"] == found["node"], "left").select("y", "x", F.coalesce("component", "run").alias("label"))
 
 

@@ -11,6 +11,7 @@ from spectraloom import model
 from spectraloom.functions import crs, text
 from spectraloom.functions.percentiles import percentiles
 from spectraloom.operators import fill, filters, gaps, georef, mosaic, quality
+from spectraloom.operators.components import connected_components
 from spectraloom.plans import pipeline, registry
 from spectraloom.sources import rasters
 
@@ -364,6 +365,26 @@ def test_regions(spark):
     assert gaps.label(cells).select("label").distinct().count() == 1
 
 
+@pytest.mark.parametrize("few", [0, 3, 40, 10**6])
+def test_components_whatever_one_task_may_hold(spark, few):
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 4), (5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), few=few).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a int, b int"), few=few).count() == 0
+
+
 def greedy(grid, source, reach):
     """Inverse distance over tracked quadrant sources, cell by cell."""
     h, w = len(grid), len(grid[0])
