@@ -26,10 +26,9 @@ BLOCK = 1024
 _SHINGLES = 1 << 16
 #: One in so many fingerprints is counted to find large anchors; that decides how members are dealt out and nothing else.
 COUNTED = 16
-#: Texts of the sample in which common shingles are counted, how often they are met there, and the bits of their hashes that name them.
-COMMON_TEXTS = 5000
-COMMON_LEAST = 4
+#: Bits of a shingle's hash that name its counter, and those that name the counters of one block.
 COMMON_BITS = 22
+BLOCK_BITS = 16
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -238,21 +237,38 @@ def _places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
 
 
-def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of hashes that are common in a sample of about COMMON_TEXTS of rows (h, text), and their counts.
+def _levels(rows: DataFrame, size: int) -> np.ndarray:
+    """For each counter the binary digits of the number of texts of rows (h, text) that have a shingle there.
 
-    They order the shingles of a text, rare ones first; what is found doesn't depend on them, only how many texts meet for nothing.
+    All texts are counted, each once a counter; 2^COMMON_BITS counters have a fixed size, whatever the texts, and may serve several shingles. A task
+    sends each block of its counters once, without those at zero, and blocks are added as they stream in. The levels order the shingles of a text, rare ones
+    first; what is found doesn't depend on them, only how many texts meet for nothing.
     """
+    one = 1 << BLOCK_BITS
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << COMMON_BITS, dtype=np.int64)
         for batch in parts:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(_hashed_set(text, size))))], names=["place"])
+                seen[np.unique(_places(_hashed_set(text, size)))] += 1
+        for block, counts in enumerate(seen.reshape(-1, one)):
+            at = np.flatnonzero(counts)
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"block": [block], "places": [at.astype(np.uint16).tobytes()], "counts": [counts[at].tobytes()]})
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in parts:
+            for block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                sums.setdefault(block, np.zeros(one, dtype=np.int64))[np.frombuffer(places, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.int64)
+        for block, counts in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": [block], "levels": [np.frexp(counts)[1].astype(np.uint8).tobytes()]})
 
-    share = min(1.0, COMMON_TEXTS / max(rows.count(), 1))
-    some = rows.where(F.pmod(F.xxhash64(F.lit("common"), "h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
-    counts = some.mapInArrow(batches, "place bigint").groupBy("place").count().where(F.col("count") >= COMMON_LEAST).orderBy("place").toArrow()
-    return counts.column("place").to_numpy(), counts.column("count").to_numpy()
+    counted = rows.select("text").mapInArrow(count, "block long, places binary, counts binary").repartition("block").mapInArrow(add, "block long, levels binary").toArrow()
+    levels = np.zeros((1 << COMMON_BITS - BLOCK_BITS, one), dtype=np.uint8)
+    for block, own in zip(counted.column("block").to_pylist(), counted.column("levels").to_pylist(), strict=True):
+        levels[block] = np.frombuffer(own, dtype=np.uint8)
+    return levels.reshape(-1)
 
 
 def _prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
@@ -261,24 +277,19 @@ def _prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
     Two sets of which the larger has n members are least similar only if they have least * n in common, so if all sets are in one order
     the first n - least * n + 1 of both have a member in common.
     """
-    common = rows.sparkSession.sparkContext.broadcast(_common(rows, size))
+    levels = rows.sparkSession.sparkContext.broadcast(_levels(rows, size))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = common.value
+        level = levels.value
         for batch in parts:
             nodes, sizes, prefixes = [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = _hashed_set(text, size)
                 n = len(hashes)
-                weights = np.zeros(n, dtype=np.int64)
-                if n and len(known):
-                    places = _places(hashes)
-                    at = np.minimum(np.searchsorted(known, places), len(known) - 1)
-                    weights = np.where(known[at] == places, counts[at], 0)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sizes.append(n)
-                # equal weights stay in the order of hashes
-                prefixes.append(hashes[np.argsort(weights, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]].view(np.int64))
+                # equal levels stay in the order of hashes
+                prefixes.append(hashes[np.argsort(level[_places(hashes)], kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]].view(np.int64))
             lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["id", "h", "node", "n", "prefix"])
@@ -293,7 +304,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every such pair is a candidate (prefix filter on the shingles), whatever the edit, and each is verified on the whole texts. Texts with equal sets are
     one node. Null and empty texts are similar to each other. Texts that share a shingle of their prefixes are first held against one of them; then
     pairs that this leaves in different components against each other, so that large groups of near copies cost no pairs of all with all. Unlike texts that
-    share a shingle which is rare elsewhere do: their pairs grow with the square of their number.
+    share a shingle of their prefixes do: their pairs grow with the square of their number.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text")

@@ -472,6 +472,18 @@ def test_similar_groups_whatever_the_edit(spark):
     assert len(near) > 40 and [got[i] for i in range(len(texts))] == components(len(texts), near)
 
 
+def test_shingles_are_counted_over_all_texts(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(60))) for _ in range(300)] + ["", "a b c d a b"] * 5
+    want = np.zeros(1 << simhash.COMMON_BITS, dtype=np.int64)
+    for text in texts:
+        want[sorted({xxhash.xxh64_intdigest(x) >> 64 - simhash.COMMON_BITS for x in simhash.shingles(text, 5)})] += 1
+    rows = spark.createDataFrame(list(enumerate(texts)), "h bigint, text string")
+    for parts in (1, 40):
+        assert simhash._levels(rows.repartition(parts), 5).tolist() == [n.bit_length() for n in want.tolist()]
+    assert want.max() > 8 and not simhash._levels(rows.limit(0), 5).any()
+
+
 def test_copies_of_short_lines_go(spark, sf_dir):
     rows = [(1, "All rights reserved.\n\nこの行は空白のない長い行です。\nAll  rights reserved."), (2, "\nこの行は空白のない長い行です。\nAll rights reserved now.\nAll rights reserved."), (3, "x")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
