@@ -320,9 +320,17 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # what two sets can have in common from here on, against what they need
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
     enough = most * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6
-    # so many members of the prefixes are common at least: those that a set has alone can push no more out of its prefix
+    # so many members are common at least; the first of them has the others behind it in both sets
+    overlap = F.ceil(least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    first = (F.col("n_a") - F.col("at_a") >= overlap) & (F.col("n_b") - F.col("at_b") >= overlap)
+    # and so many of these are in the prefixes: those that a set has alone can push no more out of its prefix
     alone = lambda n: n - F.ceil(least * n - 1e-9) + 1 - n
-    needed = F.least(alone(F.col("n_a")), alone(F.col("n_b"))) + F.ceil(least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    needed = F.least(alone(F.col("n_a")), alone(F.col("n_b"))) + overlap
+
+    def worth(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose prefixes have enough in common."""
+        own = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"))
+        return pairs.join(own("a"), "a").join(own("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= needed).select("a", "b")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets whose texts are similar, and of each side the text once."""
@@ -336,17 +344,14 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = places.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x")).select("token", "x.*")
     met = side("a", places).join(side("b", firsts), "token").where((F.col("node_a") != F.col("node_b")) & enough)
     met = materialise(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "met")
-    own = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"))
-    tried = met.join(own("a"), "a").join(own("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= needed).select("a", "b")
-    links = chain(materialise(tried, "candidates"), [("similar-pairs", similar)])
+    links = chain(materialise(worth(met), "candidates"), [("similar-pairs", similar)])
     groups = chain(links, [("first-components", connected_components)])
     named = materialise(places.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "named-places")
     mixed = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high")).select("token")
     left = materialise(named.join(mixed, "token", "left_semi"), "mixed-places")
-    pairs = side("a", left).join(side("b", left), "token").where("node_a < node_b AND group_a != group_b").where(enough)
-    # sets of different groups meet at every common member of their prefixes
-    counted = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    rest = materialise(counted.where(F.col("common") >= needed).select("a", "b").join(met, ["a", "b"], "left_anti"), "more-candidates")
+    pairs = side("a", left).join(side("b", left), "token").where("node_a < node_b AND group_a != group_b").where(first)
+    pairs = materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti"), "met-later")
+    rest = materialise(worth(pairs), "more-candidates")
     components = chain(links.unionByName(chain(rest, [("similar-pairs", similar)])), [("components", connected_components)])
     named = made.select("id", "h", "node").distinct().join(components, "node", "left")
     return named.select("id", "h", F.coalesce("component", "node").alias("component"))
