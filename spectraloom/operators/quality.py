@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import crs
 from ..functions.percentiles import percentiles
 from ..tables import materialise
+from .mosaic import absent
 from .mosaic import grid as whole_grid
 
 _INF = float("inf")
@@ -75,7 +76,8 @@ def ssim(reference: DataFrame, mosaic: DataFrame, only: DataFrame | None = None)
     """(band, ssim): mean structural similarity over uniform 7 x 7 windows, 3 cells cropped at the border.
 
     Both tables hold every cell of the grid. Cells that aren't valid in both (or not in only (y, x), where given) take the mean of the valid
-    reference in both images; the data range is that of the valid reference, or 1. Window moments are separable: two windows for five sums.
+    reference in both images; the data range is that of the valid reference, or 1. Window moments are separable: two windows for five sums and the count of
+    cells. Cells without a row, as behind the end of a last line that is cut short, are put in on the way and count nowhere.
     """
     p, q = reference.select("band", "y", "x", _finite("v").alias("p")), mosaic.select("band", "y", "x", _finite("v").alias("q"))
     cells = p.join(q, ["band", "y", "x"])
@@ -86,13 +88,14 @@ def ssim(reference: DataFrame, mosaic: DataFrame, only: DataFrame | None = None)
     cells = cells.withColumn("good", good)
     stats = cells.groupBy("band").agg(F.avg(F.when(F.col("good"), F.col("p"))).alias("mean"), (F.max(F.when(F.col("good"), F.col("p"))) - F.min(F.when(F.col("good"), F.col("p")))).alias("span"), F.max("y").alias("y1"), F.max("x").alias("x1")).where(F.col("mean").isNotNull())
     full = cells.join(stats, "band").select("band", "y", "x", "span", "y1", "x1", *(F.when(F.col("good"), F.col(c)).otherwise(F.col("mean")).alias(c) for c in "pq"))
-    moments = {"u": F.col("p"), "w": F.col("q"), "uu": F.col("p") * F.col("p"), "ww": F.col("q") * F.col("q"), "uw": F.col("p") * F.col("q")}
-    full = full.select("band", "y", "x", "span", "y1", "x1", *(m.alias(k) for k, m in moments.items()))
+    moments = {"n": F.lit(1.0), "u": F.col("p"), "w": F.col("q"), "uu": F.col("p") * F.col("p"), "ww": F.col("q") * F.col("q"), "uw": F.col("p") * F.col("q")}
+    full = full.select("band", "y", "x", "span", "y1", "x1", *(m.alias(k) for k, m in moments.items()), F.lit(True).alias("here"))
+    full = full.unionByName(absent(cells).withColumn("here", F.lit(False)), allowMissingColumns=True)
     for line, order in (("y", "x"), ("x", "y")):
         box = Window.partitionBy("band", line).orderBy(order).rowsBetween(-3, 3)
-        full = full.select("band", "y", "x", "span", "y1", "x1", *(F.sum(k).over(box).alias(k) for k in moments))
-    inner = full.where((F.col("y") >= 3) & (F.col("x") >= 3) & (F.col("y") <= F.col("y1") - 3) & (F.col("x") <= F.col("x1") - 3))
-    m = {k: F.col(k) / 49 for k in moments}
+        full = full.select("band", "y", "x", "span", "y1", "x1", *(F.sum(k).over(box).alias(k) for k in moments), "here")
+    inner = full.where(F.col("here") & (F.col("y") >= 3) & (F.col("x") >= 3) & (F.col("y") <= F.col("y1") - 3) & (F.col("x") <= F.col("x1") - 3))
+    m = {k: F.col(k) / F.col("n") for k in moments}
     unbiased = 49 / 48
     vu, vw, cov = unbiased * (m["uu"] - m["u"] * m["u"]), unbiased * (m["ww"] - m["w"] * m["w"]), unbiased * (m["uw"] - m["u"] * m["w"])
     span = F.when(F.col("span") > 0, F.col("span")).otherwise(F.lit(1.0))
