@@ -45,6 +45,8 @@ def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with similar texts (five-word shingles, 0.8) the one with the smallest id stays, once if its row is repeated.
 
+    Pairs come from SimHash by anchors, those beyond its three bits from an exact prefix filter; all are verified on the whole texts.
+
     Rows that share an id but not the text are documents of their own; rows without an id come last. Null and empty texts are alike. Of repeated rows that
     differ in other columns the first by these, as JSON, stays.
     """

@@ -272,7 +272,8 @@ def _levels(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
-    """(id, h, node, n, prefix) of rows (id, h, text): a hash of the set of shingles, its size, and the part of it that one of each similar pair shares.
+    """(id, h, node, n, fp, prefix) of rows (id, h, text): a hash of the set of shingles, its size, the text's SimHash as op9 takes it, and the part of the
+    set that one of each similar pair shares.
 
     Two sets of which the larger has n members are least similar only if they have least * n in common, so if all sets are in one order
     the first n - least * n + 1 of both have a member in common.
@@ -282,26 +283,37 @@ def _prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in parts:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, fps, prefixes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = _hashed_set(text, size)
                 n = len(hashes)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sizes.append(n)
+                fps.append(fingerprint(text, 3, 42)[0])
                 # equal levels stay in the order of hashes
                 prefixes.append(hashes[np.argsort(level[_places(hashes)], kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]].view(np.int64))
             lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["id", "h", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["id", "h", "node", "n", "fp", "prefix"])
 
-    return rows.mapInArrow(batches, "id bigint, h bigint, node bigint, n int, prefix array<bigint>")
+    return rows.mapInArrow(batches, "id bigint, h bigint, node bigint, n int, fp bigint, prefix array<bigint>")
+
+
+def _hashed_pairs(sets: DataFrame, most_bits: int = 3) -> DataFrame:
+    """Pairs (a, b) of sets (node, fp) that SimHash proposes: links between fingerprints of at most most_bits bits apart, found by anchors, and of the sets
+    with one fingerprint each with the first."""
+    heads = materialise(sets.groupBy("fp").agg(F.min("node").alias("id")), "distinct-fingerprints")
+    alike = sets.select("node", "fp").join(heads, "fp").where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    links = link_fingerprints(heads.withColumn("view", F.lit(0)), most_bits).unionByName(alike)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """(id, h, component) for each different id and text, h being xxhash64 of the text: texts in one component are linked by pairs whose sets of
     shingles of size words are at least least similar (Jaccard).
 
-    Every such pair is a candidate (prefix filter on the shingles), whatever the edit, and each is verified on the whole texts. Texts with equal sets are
+    SimHash proposes pairs first: fingerprints of op9, three bits, compared at the anchors of their halves. For what it can't see, every such pair that is
+    still in different groups is a candidate (prefix filter on the shingles), whatever the edit. Each pair of both ways is verified on the whole texts. Texts with equal sets are
     one node. Null and empty texts are similar to each other. Texts that share a shingle of their prefixes are first held against one of them; then
     pairs that this leaves in different components against each other, so that large groups of near copies cost no pairs of all with all. Unlike texts that
     share a shingle of their prefixes do: their pairs grow with the square of their number.
@@ -309,7 +321,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
     made = materialise(_prefixes(rows, size, least), "prefixes")
-    sets = materialise(made.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-sets")
+    sets = materialise(made.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")), "shingle-sets")
     places = sets.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     shared = places.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high")).select("token")
     places = materialise(places.join(materialise(shared, "shared-shingles"), "token", "left_semi"), "shared-places")
@@ -341,18 +353,25 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(lambda parts: _similar(parts, size, least), "a bigint, b bigint")
 
-    firsts = places.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x")).select("token", "x.*")
-    met = side("a", places).join(side("b", firsts), "token").where((F.col("node_a") != F.col("node_b")) & enough)
-    met = materialise(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "met")
-    links = chain(materialise(worth(met), "candidates"), [("similar-pairs", similar)])
-    groups = chain(links, [("first-components", connected_components)])
-    named = materialise(places.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "named-places")
-    mixed = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    left = materialise(named.join(mixed, "token", "left_semi"), "mixed-places")
+    def apart(links: DataFrame, name: str) -> DataFrame:
+        """places with their groups under links, of tokens that different groups share."""
+        groups = chain(links, [(f"{name}-components", connected_components)])
+        named = materialise(places.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "named-places")
+        mixed = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high")).select("token")
+        return materialise(named.join(mixed, "token", "left_semi"), "mixed-places")
+
+    proposed = materialise(_hashed_pairs(sets), "hashed-pairs")
+    hashed = chain(materialise(worth(proposed), "hashed-candidates"), [("similar-pairs", similar)])
+    rest = apart(hashed, "hashed")
+    firsts = rest.groupBy("token").agg(F.min(F.struct("node", "n", "at", "group")).alias("x")).select("token", "x.*")
+    met = side("a", rest).join(side("b", firsts), "token").where((F.col("group_a") != F.col("group_b")) & enough)
+    met = materialise(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(proposed, ["a", "b"], "left_anti"), "met")
+    links = materialise(hashed.unionByName(chain(materialise(worth(met), "candidates"), [("similar-pairs", similar)])), "first-links")
+    left = apart(links, "first")
     pairs = side("a", left).join(side("b", left), "token").where("node_a < node_b AND group_a != group_b").where(first)
-    pairs = materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti"), "met-later")
-    rest = materialise(worth(pairs), "more-candidates")
-    components = chain(links.unionByName(chain(rest, [("similar-pairs", similar)])), [("components", connected_components)])
+    pairs = materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(met.unionByName(proposed), ["a", "b"], "left_anti"), "met-later")
+    later = materialise(worth(pairs), "more-candidates")
+    components = chain(links.unionByName(chain(later, [("similar-pairs", similar)])), [("components", connected_components)])
     named = made.select("id", "h", "node").distinct().join(components, "node", "left")
     return named.select("id", "h", F.coalesce("component", "node").alias("component"))
 

@@ -502,3 +502,20 @@ def test_near_duplicate_stage_compares_rows_of_an_id_and_without_one(spark, sf_d
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     got = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(spark, docs, sf_dir).collect()), key=str)
     assert got == sorted([(7, one), (7, two), (None, three), (None, "q r s t u v")], key=str)
+
+
+def test_near_copies_of_the_pipeline_come_from_simhash(spark, sf_dir, monkeypatch):
+    from corpus_pipeline import drop_near_duplicates
+
+    rng = np.random.default_rng(9)
+    base = [str(w) for w in rng.integers(0, 10**6, 400)]
+    near, moved = [*base[:399], "other"], base[:360]
+    unlike = [str(w) for w in rng.integers(0, 10**6, 400)]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((base, near, moved, unlike), 1)], "doc_id bigint, text string")
+    proposed, own = [], simhash._hashed_pairs
+    monkeypatch.setattr(simhash, "_hashed_pairs", lambda sets, *rest: proposed.append(own(sets, *rest)) or proposed[-1])
+    assert [r.doc_id for r in drop_near_duplicates(spark, docs, sf_dir).orderBy("doc_id").collect()] == [1, 4]
+    fps = simhash.near_duplicates(docs).select("doc_id", "fp").collect()
+    bits = {r.doc_id: r.fp & (2**64 - 1) for r in fps}
+    close = sum((bits[a] ^ bits[b]).bit_count() <= 3 for a in bits for b in bits if a < b)
+    assert close and len(proposed) == 1 and 1 <= proposed[0].count() <= close
